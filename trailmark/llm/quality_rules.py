@@ -37,7 +37,7 @@ RULES = (
     Rule(0, "too_short", "n_words < 50"),
     Rule(1, "repeated_windows", "100 * n_repeat_words > 50 * n_words"),
     Rule(2, "symbols", "10 * n_symbols > 3 * n_words"),
-    Rule(3, "repeated_lines", "10 * n_dup_lines > 3 * n_lines"),
+    Rule(3, "repeated_lines", "n_dup_lines >= 5 and 10 * n_dup_lines > 3 * n_lines"),
     Rule(4, "word_length", "word_chars < 2 * n_words or word_chars > 20 * n_words"),
 )
 BASE_MASK = 0b00011
@@ -179,7 +179,7 @@ b AS (
   SELECT *, (CASE WHEN n_words < 50 THEN 1 ELSE 0 END)
     + (CASE WHEN 100 * n_repeat_words > 50 * n_words THEN 2 ELSE 0 END)
     + (CASE WHEN 10 * n_symbols > 3 * n_words THEN 4 ELSE 0 END)
-    + (CASE WHEN 10 * n_dup_lines > 3 * n_lines THEN 8 ELSE 0 END)
+    + (CASE WHEN n_dup_lines >= 5 AND 10 * n_dup_lines > 3 * n_lines THEN 8 ELSE 0 END)
     + (CASE WHEN word_chars < 2 * n_words OR word_chars > 20 * n_words THEN 16 ELSE 0 END) AS bits
   FROM m)
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars,

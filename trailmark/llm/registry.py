@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import quality_rules
+from . import mixing, nearest, quality_rules, url_filters
 
-QUERIES = {
-    "op10_quality_rules": quality_rules.query,
-}
-ORACLES = {
-    "op10_quality_rules": quality_rules.ORACLE,
+_MODULES = {
+    "op5_nearest": nearest,
+    "op6_mixing": mixing,
+    "op9_url_filters": url_filters,
+    "op10_quality_rules": quality_rules,
 }
+QUERIES = {name: module.query for name, module in _MODULES.items()}
+#: Modules without ORACLE have no SQL form; their tests hold them against brute force.
+ORACLES = {name: module.ORACLE for name, module in _MODULES.items() if hasattr(module, "ORACLE")}
