@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import mixing, nearest, quality_rules, url_filters
+from . import mixing, nearest, packing, quality_rules, token_counts, token_files, url_filters
 
 _MODULES = {
+    "op2_token_counts": token_counts,
+    "op4_token_files": token_files,
     "op5_nearest": nearest,
     "op6_mixing": mixing,
+    "op7_packing": packing,
     "op9_url_filters": url_filters,
     "op10_quality_rules": quality_rules,
 }
