@@ -119,6 +119,12 @@ def kept(policy: str = CURRENT, bits: str = "fail_bits") -> Column:
     return F.col(bits).bitwiseAND(F.lit(POLICIES[policy]).cast("long")) == 0
 
 
+def accepted(docs: DataFrame, policy: str = CURRENT) -> DataFrame:
+    """docs, with their own columns, without those that the policy rejects."""
+    row = ledger(docs.select(F.struct(*docs.columns).alias("_row"), "text"), keep=["_row"])
+    return row.where(kept(policy)).select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
+
+
 def ablations(of_ledger: DataFrame) -> DataFrame:
     """For each policy and each of its rules: documents kept, failed by the rule, kept without the rule.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing, nearest, packing, quality_rules, token_counts, token_files, url_filters
+from . import mixing, near_duplicates, nearest, packing, quality_rules, token_counts, token_files, url_filters
 
 _MODULES = {
     "op2_token_counts": token_counts,
@@ -10,6 +10,7 @@ _MODULES = {
     "op5_nearest": nearest,
     "op6_mixing": mixing,
     "op7_packing": packing,
+    "op8_near_duplicates": near_duplicates,
     "op9_url_filters": url_filters,
     "op10_quality_rules": quality_rules,
 }
