@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import mixing, near_duplicates, nearest, packing, quality_rules, token_counts, token_files, url_filters
+from . import html_text, mixing, near_duplicates, nearest, packing, quality_rules, token_counts, token_files, url_filters
 
 _MODULES = {
     "op2_token_counts": token_counts,
+    "op3_html_text": html_text,
     "op4_token_files": token_files,
     "op5_nearest": nearest,
     "op6_mixing": mixing,
