@@ -112,7 +112,7 @@ class Counter:
         if "" in words:
             words = [x[1:] for x in RUNS.findall(" " + text)]
         held = self.words
-        if missing := set(words) - held.keys():
+        if missing := {w for w in words if w not in held}:
             if len(held) + len(missing) > WORDS:
                 held.clear()
                 missing = set(words)

@@ -22,7 +22,7 @@ PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 #: Characters that composition (NFC) leaves alone and that lower-case one by one.
 LATIN = regex.compile(r"[\x21-\x7e¡-įı-ɏ]+")  # without U+0130, which lower-cases to two
 ENDS = frozenset(".,;:!?")
-WORDS, PARTS = 400_000, 400_000
+WORDS, PARTS = 1_000_000, 800_000
 CHUNK = 1 << 20
 
 
@@ -82,8 +82,10 @@ class WordIds:
             else:
                 rest.append(w)
         parts = self.parts
-        for p in {p for ps in simple.values() for p in ps} - parts.keys():
-            parts[p] = self._piece(p)
+        for ps in simple.values():
+            for p in ps:
+                if p not in parts:
+                    parts[p] = self._piece(p)
         for w, ps in simple.items():
             self.words[w] = parts[ps[0]] if len(ps) == 1 else b"".join([parts[p] for p in ps])
         for w in rest:
@@ -106,7 +108,7 @@ class WordIds:
                     lists.append(words := t.split())
                     missing.update(words)
             held = self.words
-            if missing := missing - held.keys():
+            if missing := {w for w in missing if w not in held}:
                 if len(held) + len(missing) > WORDS:  # the memo starts anew: all of these words count as missing
                     missing = {w for x in lists if isinstance(x, list) for w in x}
                 self._learn(missing)
