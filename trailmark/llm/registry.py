@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import html_text, mixing, near_duplicates, nearest, packing, quality_rules, token_counts, token_files, url_filters
+from . import html_text, language_model, mixing, near_duplicates, nearest, packing, quality_rules, token_counts, token_files, url_filters
 
 _MODULES = {
+    "op1_language_model": language_model,
     "op2_token_counts": token_counts,
     "op3_html_text": html_text,
     "op4_token_files": token_files,
