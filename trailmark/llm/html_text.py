@@ -29,9 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, written
 
 DEPTH, PAGES_SHARING, PAGES, COVERED = 8, 3, 2000, 0.5
+#: Hosts of more than PAGES pages are broadcast up to this number, about 50 MB; more are joined by shuffling.
+BROADCAST = 500_000
 MAIN, OPEN, FURNITURE = 0, 1, 2
 #: Fixed lists: names of HTML.
 RAW = frozenset("script style noscript template textarea title iframe svg math select option object".split())
@@ -213,10 +215,13 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
     """(page_id, url, text, n_chars, n_repeated): n_repeated counts the page's tokens in repeated runs."""
     host = F.coalesce(F.lower(F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)", 1)), F.lit(""))
     large = pages.select(host.alias("_h")).groupBy("_h").agg(F.count("*").alias("_n")).where(F.col("_n") > PAGES)
+    large = written(large, "hosts")
+    small = large.count() <= BROADCAST  # so the pages are dealt once, by host and salt
     read = parsed(pages, page_id, url, html)
-    split = read.join(large, read["host"] == large["_h"], "left")
+    split = read.join(F.broadcast(large) if small else large, read["host"] == large["_h"], "left")
     salt = F.pmod(F.xxhash64("page_id"), F.ceil(F.coalesce("_n", F.lit(1)) / PAGES)).cast("int")
-    return split.select("page_id", "url", "kinds", "blocks", "host", salt.alias("salt")).groupBy("host", "salt").applyInArrow(decide, RESULT)
+    dealt = split.select("page_id", "url", "kinds", "blocks", "host", salt.alias("salt"))
+    return (dealt if small else dealt.repartition("host", "salt")).groupBy("host", "salt").applyInArrow(decide, RESULT)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
