@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from ..functions.geo import planar_m
 from ..functions.intervals import covered, islands, needed
 from ..functions.names import display_name, normalized_name, official_name
-from ..operators import inventory, network, progress, routes, rules, tracks
+from ..operators import inventory, matching, network, progress, routes, rules, tracks
 from . import lens as L
+from . import outings
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -566,3 +567,43 @@ def city_total_dedupe(spark, sf):
 def normalised_names(spark, sf):
     p = L.read(spark, sf, "part")
     return p.select("p_partkey", normalized_name(F.concat(F.lit("  The  "), "p_name", F.lit(" "))).alias("norm"), needed(F.lit(20.0) + F.col("p_size") * 5).alias("need"))
+
+
+# ---- kernels: no SQL form; their own invariants are tested -------------------------------------
+
+
+def _zones(spark, sf):
+    placed = _reasoned(spark, sf).where("reason is null")
+    z = lambda side: L.nodes(spark, sf).select(F.col("node_id").alias(side), F.col("elevation").alias(f"z{side}"))
+    rows = placed.join(z("u"), "u").join(z("v"), "v")
+    cols = rows.select("edge_ord", "u", "v", "key", "length", "ulon", "ulat", "vlon", "vlat", "zu", "zv", display_name().alias("name"), F.element_at(F.col("tags"), "highway")[0].alias("highway"))
+    cols = cols.withColumn("required", F.col("name") != "").withColumn("coverage_id", F.lit(None).cast("string"))
+    return outings.zones_of(cols)
+
+
+def _plan(kind, km):
+    def f(spark, sf):
+        s = outings.summaries(_zones(spark, sf), kind, km)
+        return s.select("group", "streets", r("required_m"), r("deadhead_m"), r("total_m"), "n_odd_nodes")
+
+    return f
+
+
+for _name, _kind, _km in (("plan_efficient", "efficient", 2.0), ("plan_snake", "snake", 2.0), ("chunk_disk", "disk", 3.0), ("twin_collapse", "twins", 0.0), ("stair_ascent", "ascent", 0.0)):
+    QUERIES[_name] = _plan(_kind, _km)
+
+
+@query(None)
+def map_match(spark, sf):
+    named, _ = inventory.prepare(L.edges(spark, sf), L.nodes(spark, sf), L.ZONES)
+    rows = matching.network_rows(named)
+    legs = L.legs(spark, sf)
+    # a fix every tenth of each leg, 4 m beside it
+    t = F.explode(F.sequence(F.lit(0), F.lit(9)))
+    walk = legs.select("route_id", "ord", "ulon", "ulat", "vlon", "vlat", t.alias("t")).select(
+        F.col("route_id").cast("string").alias("walk_id"), F.lit(0).alias("seg_ord"), (F.col("ord") * 10 + F.col("t")).cast("int").alias("fix_ord"),
+        (F.col("ulat") + (F.col("vlat") - F.col("ulat")) * F.col("t") / 10 + 0.00003).alias("lat"), (F.col("ulon") + (F.col("vlon") - F.col("ulon")) * F.col("t") / 10 + 0.00003).alias("lon"),
+        F.lit(None).cast("double").alias("ts"),
+    )
+    found = matching.match_tracks(walk, rows)
+    return found.groupBy("walk_id").agg(F.count("coverage_id").alias("spans"), F.round(F.sum("matched_m"), 2).alias("matched_m"), F.round(F.sum("raw_m"), 2).alias("raw_m"), F.sum("n_unmatched").alias("n_unmatched"))
