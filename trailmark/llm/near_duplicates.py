@@ -4,16 +4,19 @@ A document's set is its distinct shingles of K words, A-Z lower-cased, as 64-bit
 words the whole sequence is one shingle, without words the set is empty and linked with nothing.
 Two sets link when 100 * intersection >= PERCENT * union.
 
-1. Features (one pass for frequencies, one for features): set size, set hash, and for each of ORDERS
-   token orders the prefix of n - ceil(PERCENT * n / 100) + 1 tokens. Linked sets share a prefix
-   token under every global order. All orders put shingles that many documents share last, then go
-   by hashes with different seeds. (Which shingles count as frequent only shapes the orders: any
-   order gives the same links. So the list of them may be bounded, and is broadcast.)
+1. Features (one pass for frequencies, one for features): set size, set hash, and the prefix of
+   n - ceil(PERCENT * n / 100) + 1 tokens under the first of ORDERS token orders. Linked sets share a
+   prefix token under every global order. All orders put shingles that many documents share last,
+   then go by hashes with different seeds. (Which shingles count as frequent only shapes the orders:
+   any order gives the same links. So the list of them may be bounded, and is broadcast.)
 2. Equal sets are one node, named by its smallest doc_id.
-3. Candidates share a prefix token under the first order. Tokens of one node only are dropped. Each
-   token's nodes are first paired with its smallest node alone, so copies in a large group meet a
-   few hubs and not each other. Then all pairs whose nodes aren't yet in one component follow.
-4. Candidates must agree in length and share prefix tokens under the other orders as well.
+3. Candidates share a prefix token under the first order, at places that leave enough tokens behind
+   for the overlap needed: the first token that two linked sets share has such places. In a group of
+   copies that differ too much, what makes them differ is rare and stands in front, so their shared
+   tokens come too late; the group doesn't become all its pairs. Tokens of one node only are dropped.
+   Each token's nodes are first paired with its smallest node alone, so copies in a large group meet
+   a few hubs and not each other. Then all pairs whose nodes aren't yet in one component follow.
+4. Candidates must share prefix tokens under the other orders as well (intersection of the filters).
 5. Those left are verified exactly on whole texts.
 
 Null text: empty set. Null doc_id: the row is returned with a null component. Rows that repeat an
@@ -42,7 +45,9 @@ FREQUENT, MOST, WINDOW = 8, 1_000_000, 4_000_000
 U = np.uint64
 SEEDS = (U(0), U(0x243F6A8885A308D3), U(0x13198A2E03707344), U(0xA4093822299F31D0))
 STIR = U(0x452821E638D01377)
-FEATURES = "doc_id long, n_shingles long, set_hash long, prefix array<long>, others array<array<int>>"
+FEATURES = "doc_id long, n_shingles long, set_hash long, prefix array<long>"
+#: Nodes up to this number, 32 MB at most, are broadcast to pick their texts; more are joined by shuffling.
+BROADCAST = 2_000_000
 
 
 def frequent(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -82,77 +87,68 @@ def prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
     return np.where(n > 0, n - needed + 1, 0)
 
 
+def ordered(h: np.ndarray, n: np.ndarray, common: tuple[np.ndarray, np.ndarray], orders: range, percent: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """The prefixes of sets (h: their tokens, n: their sizes) under some orders, and the prefixes' lengths."""
+    known, classes = common
+    owner = np.repeat(np.arange(len(n)), n)
+    level = np.zeros(len(h), U)
+    if len(known) and len(h):
+        at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+        level = np.where(known[at] == h, classes[at], 0).astype(U) << U(56)
+    p = prefix_length(n, percent)
+    chosen = np.arange(len(h)) - (np.cumsum(n) - n)[owner] < p[owner]
+    return [h[np.lexsort((level | S.mixed(h ^ SEEDS[i]) >> U(8), owner))][chosen] for i in orders], p
+
+
 def features(docs: DataFrame, k: int, percent: int, common: Broadcast) -> DataFrame:
     """FEATURES of docs (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, classes = common.value
         for b in batches:
-            texts = b.column(1).to_pylist()
-            for begin, end, raw in S.blocks(texts):
+            for begin, end, raw in S.blocks(b.column(1).to_pylist()):
                 h, n = S.of_block(raw, k)
-                owner = np.repeat(np.arange(len(n)), n)
-                level = np.zeros(len(h), U)
-                if len(known) and len(h):
-                    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-                    level = np.where(known[at] == h, classes[at], 0).astype(U) << U(56)
-                p = prefix_length(n, percent)
-                rank = np.arange(len(h)) - (np.cumsum(n) - n)[owner]
-                chosen = rank < p[owner]
-                picks = []
-                for seed in SEEDS[:ORDERS]:
-                    order = np.lexsort((level | S.mixed(h ^ seed) >> U(8), owner))
-                    picks.append(h[order][chosen])
+                (prefix,), p = ordered(h, n, common.value, range(1), percent)
                 cuts = np.append(0, np.cumsum(p)).astype(np.int32)
-                rest = [pa.ListArray.from_arrays(cuts, pa.array((x >> U(20)).astype(np.uint32).view(np.int32))) for x in picks[1:]]
-                m = len(n)
-                woven = pa.concat_arrays(rest).take(pa.array(np.arange(m * len(rest)).reshape(len(rest), m).T.reshape(-1)))
                 yield pa.RecordBatch.from_arrays(
                     [
                         b.column(0).slice(begin, end - begin), pa.array(n.astype(np.int64)), pa.array(S.sums(S.mixed(h ^ STIR), n).view(np.int64)),
-                        pa.ListArray.from_arrays(cuts, pa.array(picks[0].view(np.int64))), pa.ListArray.from_arrays(np.arange(0, m * len(rest) + 1, len(rest)).astype(np.int32), woven),
+                        pa.ListArray.from_arrays(cuts, pa.array(prefix.view(np.int64))),
                     ],
-                    names=["doc_id", "n_shingles", "set_hash", "prefix", "others"],
+                    names=["doc_id", "n_shingles", "set_hash", "prefix"],
                 )
 
     return docs.select("doc_id", "text").mapInArrow(run, FEATURES)
 
 
-@lru_cache(maxsize=512)
-def shingle_set(text: str, k: int) -> np.ndarray:
-    return S.of_block([text.encode("utf-8", "surrogatepass")], k)[0]
-
-
-def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose texts (doc_id, text) link. Rows stream; no group is held."""
+def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int, common: Broadcast) -> DataFrame:
+    """The pairs (a, b) that pass the other orders' filters and link. Rows stream; no group is held."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        @lru_cache(maxsize=256)
+        def of(text: str) -> tuple[np.ndarray, list[np.ndarray]]:
+            h, n = S.of_block([text.encode("utf-8", "surrogatepass")], k)
+            return h, ordered(h, n, common.value, range(1, ORDERS), percent)[0]
+
+        def links(x: str, y: str) -> bool:
+            (one, others), (two, theirs) = of(x), of(y)
+            if not all(np.isin(p, q).any() for p, q in zip(others, theirs, strict=True)):
+                return False
+            both = len(np.intersect1d(one, two, assume_unique=True))
+            return 100 * both >= percent * (len(one) + len(two) - both)
+
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 b = batch.slice(at, 256)
-                good = []
-                for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                    one, two = shingle_set(x, k), shingle_set(y, k)
-                    both = len(np.intersect1d(one, two, assume_unique=True))
-                    good.append(100 * both >= percent * (len(one) + len(two) - both))
-                mask = pa.array(good, pa.bool_())
+                mask = pa.array([links(x, y) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)], pa.bool_())
                 yield pa.RecordBatch.from_arrays([b.column(0).filter(mask), b.column(1).filter(mask)], names=["a", "b"])
 
+    nodes = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "nodes")
+    picked = F.broadcast(nodes) if nodes.count() <= BROADCAST else nodes
+    texts = written(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(picked, "doc_id", "left_semi"), "texts")
     b = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("_tb"))
     a = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("_ta"))
     rows = pairs.join(b, "b").join(a, "a").select("a", "b", "_ta", "_tb")
-    return rows.mapInArrow(run, "a long, b long")
-
-
-def filtered(pairs: DataFrame, feats: DataFrame) -> DataFrame:
-    """The pairs (a, b) that share prefix tokens under every other order."""
-    one = feats.select(F.col("doc_id").alias("a"), F.col("others").alias("_oa"))
-    two = feats.select(F.col("doc_id").alias("b"), F.col("others").alias("_ob"))
-    shares = [F.arrays_overlap(F.col("_oa")[i], F.col("_ob")[i]) for i in range(ORDERS - 1)]
-    rows = pairs.join(one, "a").join(two, "b")
-    for s in shares:
-        rows = rows.where(s)
-    return rows.select("a", "b").distinct()
+    return rows.mapInArrow(run, "a long, b long").distinct()
 
 
 def join(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
@@ -163,27 +159,27 @@ def join(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
     known = feats.where(F.col("doc_id").isNotNull())
     classes = written(known.groupBy("n_shingles", "set_hash").agg(F.min("doc_id").alias("node")), "classes")
 
-    rows = known.where("n_shingles > 0").select(F.explode("prefix").alias("token"), "n_shingles", "set_hash", "doc_id")
-    nodes = rows.groupBy("token", "n_shingles", "set_hash").agg(F.min("doc_id").alias("node"))
-    nodes = nodes.repartition("token")
-    by_token = F.count("*").over(Window.partitionBy("token")), F.min("node").over(Window.partitionBy("token"))
-    posting = written(nodes.select("token", "node", F.col("n_shingles").alias("n"), by_token[0].alias("many"), by_token[1].alias("hub")).where("many > 1").drop("many"), "postings")
-    near = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
-
-    sizes = posting.where("node = hub").select("token", F.col("n").alias("nb"))
-    hubs = posting.where("node <> hub").withColumnRenamed("n", "na").join(sizes, "token").where(near)
-    hubs = written(hubs.select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct(), "hubs")
-    texts = written(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(posting.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi"), "texts")
-    first = written(verified(filtered(hubs, known), texts, k, percent), "links1")
+    rows = known.where("n_shingles > 0").select(F.posexplode("prefix").alias("at", "token"), "n_shingles", "set_hash", "doc_id")
+    nodes = rows.repartition("token").groupBy("token", "n_shingles", "set_hash").agg(F.min("doc_id").alias("node"), F.min("at").alias("at"))
+    many, hub = F.count("*").over(Window.partitionBy("token")), F.min("node").over(Window.partitionBy("token"))
+    posting = nodes.select("token", "node", F.col("n_shingles").alias("n"), (F.col("n_shingles") - F.col("at")).alias("rest"), many.alias("many"), hub.alias("hub"))
+    posting = written(posting.where("many > 1").drop("many"), "postings")
+    # the overlap needed is PERCENT / (100 + PERCENT) of both sizes, and what is left from the token on must reach it
+    enough = F.least("ra", "rb") * (100 + percent) >= (F.col("na") + F.col("nb")) * percent
+
+    tops = posting.where("node = hub").select("token", F.col("n").alias("nb"), F.col("rest").alias("rb"))
+    spokes = posting.where("node <> hub").select("token", F.col("node").alias("a"), F.col("hub").alias("b"), F.col("n").alias("na"), F.col("rest").alias("ra"))
+    hubs = written(spokes.join(tops, "token").where(enough).select("a", "b").distinct(), "hubs")
+    first = written(verified(hubs, docs, k, percent, common), "links1")
     grouped = written(components(first), "grouped")
 
-    tagged = posting.join(grouped, "node", "left").select("token", "node", "n", F.coalesce("component", "node").alias("component"))
+    tagged = posting.join(grouped, "node", "left").select("token", "node", "n", "rest", F.coalesce("component", "node").alias("component"))
     two = F.min("component").over(Window.partitionBy("token")) != F.max("component").over(Window.partitionBy("token"))
     tagged = written(tagged.select("*", two.alias("two")).where("two").drop("two"), "tagged")
-    left = tagged.select("token", F.col("node").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-    right = tagged.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-    pairs = left.join(right, "token").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & near).select("a", "b").distinct()
-    second = verified(filtered(written(pairs, "pairs"), known), texts, k, percent)
+    left = tagged.select("token", F.col("node").alias("a"), F.col("n").alias("na"), F.col("rest").alias("ra"), F.col("component").alias("ca"))
+    right = tagged.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("rest").alias("rb"), F.col("component").alias("cb"))
+    pairs = left.join(right, "token").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & enough).select("a", "b").distinct()
+    second = written(verified(written(pairs, "pairs"), docs, k, percent, common), "links2")
 
     links = first.unionByName(second)
     groups = components(links)
