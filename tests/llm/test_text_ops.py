@@ -266,3 +266,10 @@ def test_shingles_by_brute_force():
     h, n = shingles.of_block([t.encode() for t in texts], 3)
     want = [len(set(zip(w, w[1:], w[2:], strict=False))) if len(w) >= 3 else min(1, len(w)) for w in ([x for x in t.lower().split()] for t in texts)]
     assert n.tolist() == want and len(h) == sum(want)
+
+
+def test_near_duplicates_of_an_id_with_several_texts(spark):
+    a, b, c = text(21), text(22), text(23, 60)
+    rows = [(1, a), (5, b), (5, a), (7, b), (9, c), (5, c), (11, text(24))]
+    got = {r.doc_id: r.component_id for r in near_duplicates.join(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r.doc_id != 5}
+    assert got[1] == 1 and got[11] == 11 and got[7] == got[9]

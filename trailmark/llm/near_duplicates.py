@@ -159,11 +159,16 @@ def join(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
     known = feats.where(F.col("doc_id").isNotNull())
     classes = written(known.groupBy("n_shingles", "set_hash").agg(F.min("doc_id").alias("node")), "classes")
 
-    rows = known.where("n_shingles > 0").select(F.posexplode("prefix").alias("at", "token"), "n_shingles", "set_hash", "doc_id")
-    nodes = rows.repartition("token").groupBy("token", "n_shingles", "set_hash").agg(F.min("doc_id").alias("node"), F.min("at").alias("at"))
+    # one row stands for equal sets; the others are told by id and set, as an id may come with several sets
+    others = known.join(classes, ["n_shingles", "set_hash"]).where("doc_id <> node").select("doc_id", "set_hash").distinct()
+    others = written(others, "others")
+    others = F.broadcast(others) if others.count() <= BROADCAST else others
+    alone = known.where("n_shingles > 0").join(others, ["doc_id", "set_hash"], "left_anti")
+    rows = alone.select(F.posexplode("prefix").alias("at", "token"), "doc_id", "n_shingles").select("token", "doc_id", (F.col("n_shingles") * 2**32 + F.col("at")).alias("_m"))
+    nodes = rows.repartition("token").groupBy("token", F.col("doc_id").alias("node"), "_m").agg(F.count("*").alias("_c"))
+    nodes = nodes.select("token", "node", F.shiftright("_m", 32).alias("n"), (F.shiftright("_m", 32) - F.col("_m") % 2**32).alias("rest"))
     many, hub = F.count("*").over(Window.partitionBy("token")), F.min("node").over(Window.partitionBy("token"))
-    posting = nodes.select("token", "node", F.col("n_shingles").alias("n"), (F.col("n_shingles") - F.col("at")).alias("rest"), many.alias("many"), hub.alias("hub"))
-    posting = written(posting.where("many > 1").drop("many"), "postings")
+    posting = written(nodes.withColumns({"many": many, "hub": hub}).where("many > 1").drop("many"), "postings")
     # the overlap needed is PERCENT / (100 + PERCENT) of both sizes, and what is left from the token on must reach it
     enough = F.least("ra", "rb") * (100 + percent) >= (F.col("na") + F.col("nb")) * percent
 
