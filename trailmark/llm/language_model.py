@@ -32,14 +32,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import shingles as S
-from .common import shared_dir, table, written
+from .common import removed, shared_dir, table, written
 from .elias_fano import Sequence, pack
 
 ORDER, MIN_COUNT, DISCOUNT, WINDOW = 3, 2, 0.75, 2_000_000
 U = np.uint64
 END = U(0x6A09E667F3BCC909)
 GRID = 3000.0  # steps of a decade
-CHUNK = 1 << 22
+CHUNK, PLACES = 1 << 22, 40
 SCORES = "doc_id long, n_tokens long, n_known long, base_score double, score double"
 
 
@@ -54,6 +54,19 @@ def padded(x: np.ndarray) -> np.ndarray:
     return raw
 
 
+def numbers(x: np.ndarray) -> np.ndarray:
+    """Counts in four bytes each, or in eight where one needs them; with a word in front that says which."""
+    width = 4 if not len(x) or int(x.max()) < 2**32 else 8
+    return np.concatenate([np.array([width, len(x)], U), padded(x.astype(f"<u{width}"))])
+
+
+def read_numbers(words: np.ndarray, at: int) -> tuple[np.ndarray, int]:
+    """(counts at `at`, where they end)."""
+    width, n = int(words[at]), int(words[at + 1])
+    end = at + 2 - (-width * n // 8)
+    return words[at + 2 : end].view(f"<u{width}")[:n], end
+
+
 class Words:
     """A segment of level 1: hashes (without the segment's own top bits) and counts."""
 
@@ -61,12 +74,12 @@ class Words:
     def build(hashes: np.ndarray, counts: np.ndarray, bits: int) -> np.ndarray:
         rest = hashes << U(bits) >> U(bits)
         order = np.argsort(rest)
-        return np.concatenate([pack(rest[order], (1 << (64 - bits)) - 1), counts[order].astype(U)])
+        return np.concatenate([pack(rest[order], (1 << (64 - bits)) - 1), numbers(counts[order])])
 
     def __init__(self, words: np.ndarray) -> None:
         self.hashes = Sequence(words)
         self.n = self.hashes.n
-        self.counts = words[self.hashes.end : self.hashes.end + self.n].view(np.int64)
+        self.counts, _ = read_numbers(words, self.hashes.end)
 
 
 class Children:
@@ -81,16 +94,15 @@ class Children:
         base = np.append(0, np.cumsum(ids[last] + 1))[np.searchsorted(parents[last], parents)]
         relative = base + ids
         head = np.array([n_parents], U)
-        return np.concatenate([head, pack(pointers, n), pack(relative, int(relative[-1])), counts.astype(U), padded(quantised(p)), padded(quantised(left))])
+        return np.concatenate([head, pack(pointers, n), pack(relative, int(relative[-1])), numbers(counts), padded(quantised(p)), padded(quantised(left))])
 
     def __init__(self, words: np.ndarray) -> None:
         self.n_parents = int(words[0])
         self.pointers = Sequence(words, 1)
         self.ids = Sequence(words, self.pointers.end)
         self.n = n = self.ids.n
-        at = self.ids.end
-        self.counts = words[at : at + n].view(np.int64)
-        at, size = at + n, -(-2 * n // 8)
+        self.counts, at = read_numbers(words, self.ids.end)
+        size = -(-2 * n // 8)
         self.p = words[at : at + size].view(np.uint16)[:n]
         self.left = words[at + size :].view(np.uint16)[: self.n_parents]
 
@@ -220,8 +232,8 @@ def sequences(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return out, n
 
 
-def nodes(trie: Trie, hashes: np.ndarray, n: np.ndarray, upto: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]:
-    """(ids, counts, for each order up to `upto` the context's node of each token, log10 p by the longest context).
+def nodes(trie: Trie, hashes: np.ndarray, n: np.ndarray, upto: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]:
+    """(ids, counts, for each order up to `upto` the context's node of each token, log10 p by the longest context, node of the token's longest n-gram).
 
     The n-gram of order k is a child of the n-gram of order k - 1 that ends one token before.
     Before a text's first word stands END.
@@ -238,25 +250,29 @@ def nodes(trie: Trie, hashes: np.ndarray, n: np.ndarray, upto: int) -> tuple[np.
         parents.append(before)
         if k <= len(trie.levels):
             node, p = trie.longer(k - 1, before, ids, p)
-    return ids, counts, parents, p
+    return ids, counts, parents, p, node
 
 
 def counted(texts: DataFrame, model: Model | None, order: int) -> DataFrame:
     """(seg, parent, word, n): the training n-grams of an order, counted in windows of WINDOW tokens and added up.
 
-    Of order 1, word is the hash. Longer n-grams are counted if their first and last tokens may be in
-    one that is kept: a pair's words are frequent enough, and a longer one's context is in the trie.
+    Of order 1, word is the hash and parent 0. Else parent is the context's segment (from bit PLACES
+    on) and place in it. Longer n-grams are counted if they may be kept: a pair's words are frequent
+    enough; of a longer one the context and the last tokens are in the trie.
     """
 
     def keys(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         hashes, n = sequences(raw)
         if order == 1:
             return np.zeros(len(hashes), np.int64), hashes.view(np.int64)
-        ids, counts, parents, _ = nodes(model.trie(), hashes, n, order)
-        fine = (parents[-1] >= 0) & (counts >= MIN_COUNT)
+        trie = model.trie()
+        ids, counts, parents, _, node = nodes(trie, hashes, n, order)
+        fine = (parents[-1] >= 0) & (counts >= MIN_COUNT) & (node >= 0)
         if order == 2:
             fine[1:] &= counts[:-1] >= MIN_COUNT
-        return parents[-1][fine], ids[fine]
+        parent, bases = parents[-1][fine], trie.bases[order - 2]
+        seg = np.searchsorted(bases, parent, side="right") - 1
+        return (seg << PLACES) + parent - bases[seg], ids[fine]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -270,11 +286,7 @@ def counted(texts: DataFrame, model: Model | None, order: int) -> DataFrame:
             new[1:] = (word[1:] != word[:-1]) | (parent[1:] != parent[:-1])
             at = np.flatnonzero(new)
             parent, word, n = parent[at], word[at], np.diff(np.append(at, len(word)))
-            if order == 1:
-                seg = (word.view(U) >> U(64 - bits)).astype(np.int32)
-            else:
-                seg = (np.searchsorted(model.trie().bases[order - 2], parent, side="right") - 1).astype(np.int32)
-            return pa.RecordBatch.from_arrays([pa.array(seg), pa.array(parent), pa.array(word), pa.array(n)], names=["seg", "parent", "word", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(parent), pa.array(word), pa.array(n)], names=["parent", "word", "n"])
 
         for b in batches:
             for _, _, raw in S.blocks(b.column(0).to_pylist()):
@@ -286,11 +298,12 @@ def counted(texts: DataFrame, model: Model | None, order: int) -> DataFrame:
         if held:
             yield report()
 
-    bits = model.bits
-    return texts.mapInArrow(run, "seg int, parent long, word long, n long").groupBy("seg", "parent", "word").agg(F.sum("n").alias("n"))
+    seg = F.shiftrightunsigned("word", 64 - model.bits) if order == 1 else F.shiftright("parent", PLACES)
+    sums = texts.mapInArrow(run, "parent long, word long, n long").groupBy("parent", "word").agg(F.sum("n").alias("n"))
+    return sums.select(seg.cast("int").alias("seg"), "parent", "word", "n")
 
 
-def build(model: Model, order: int):
+def build(model: Model, order: int, last: int):
     """What makes a group of n-grams of one segment its blob."""
 
     def run(group: pa.Table) -> pa.Table:
@@ -303,13 +316,14 @@ def build(model: Model, order: int):
             by = np.lexsort((word, parent))
             parent, word, n = parent[by], word[by], n[by]
             above = trie.levels[order - 2][seg]
-            local = parent - trie.bases[order - 2][seg]
+            local = parent & ((1 << PLACES) - 1)
             share = (n - DISCOUNT) / above.counts[local]
             left = np.clip(1.0 - np.bincount(local, share, above.n), 1e-9, 1.0)
             shorter = trie.single(trie.of_nodes(0, 0, word, "counts"))
             if order == 3:  # under the last word of the context alone
-                shorter = trie.longer(1, trie.of_nodes(1, 1, parent, "word"), word, shorter)[1]
-            blob = Children.build(above.n, local, word, n, share + left[local] * 10.0**shorter, left)
+                shorter = trie.longer(1, trie.of_nodes(1, 1, local + trie.bases[1][seg], "word"), word, shorter)[1]
+            held = n if order < last else n[:0]  # counts are for the level below
+            blob = Children.build(above.n, local, word, held, share + left[local] * 10.0**shorter, left)
         return pa.table({"seg": pa.array([seg], pa.int32()), "size": pa.array([len(n)], pa.int64()), "blob": pa.array([blob.tobytes()], pa.binary())})
 
     return run
@@ -346,8 +360,10 @@ def train(texts: DataFrame, order: int = ORDER) -> Model:
         grams = written(grams if k == 1 else grams.where(F.col("n") >= MIN_COUNT), f"grams{k}")
         if k == 1:
             model.total = int(grams.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
-        blobs = written(grams.groupBy("seg").applyInArrow(build(model, k), "seg int, size long, blob binary"), f"blobs{k}")
+        blobs = written(grams.groupBy("seg").applyInArrow(build(model, k, order), "seg int, size long, blob binary"), f"blobs{k}")
         file = stored(blobs, 1 << model.bits, folder, k)
+        for used in (grams, blobs):
+            removed(used)
         later = Model(model.bits)
         later.total, later.files = model.total, (*model.files, file)
         model = later
@@ -362,7 +378,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
             trie = model.trie()
             for begin, end, raw in S.blocks(b.column(1).to_pylist()):
                 hashes, n = sequences(raw)
-                _, counts, _, p = nodes(trie, hashes, n, len(trie.levels))
+                _, counts, _, p, _ = nodes(trie, hashes, n, len(trie.levels))
                 first = np.cumsum(n) - n
                 base = np.add.reduceat(trie.single(counts), first)
                 known = np.add.reduceat((counts > 0).astype(np.int64), first)
