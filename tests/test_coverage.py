@@ -291,5 +291,5 @@ def test_commands_from_snapshot_to_plan(spark, tmp_path):
 def test_catalogue_has_sql_for_what_sql_can_say():
     assert set(queries.ORACLES) <= set(queries.QUERIES) and len(queries.QUERIES) >= 50
     assert set(queries.QUERIES) - set(queries.ORACLES) == {
-        "prepared_inventory", "observation_aliases", "stationary_filter", "city_total_dedupe", "plan_efficient", "plan_snake", "chunk_disk", "twin_collapse", "stair_ascent", "map_match"
+        "prepared_inventory", "observation_aliases", "stationary_filter", "city_total_dedupe", "plan_efficient", "plan_snake", "chunk_disk", "twin_collapse", "stair_ascent", "map_match", "route_cues"
     }

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.geo import planar_m
 from ..functions.intervals import covered, islands, needed
 from ..functions.names import display_name, normalized_name, official_name
-from ..operators import inventory, matching, network, progress, routes, rules, tracks
+from ..operators import cues, inventory, matching, network, progress, routes, rules, tracks
 from . import lens as L
 from . import outings
 
@@ -607,3 +607,9 @@ def map_match(spark, sf):
     )
     found = matching.match_tracks(walk, rows)
     return found.groupBy("walk_id").agg(F.count("coverage_id").alias("spans"), F.round(F.sum("matched_m"), 2).alias("matched_m"), F.round(F.sum("raw_m"), 2).alias("raw_m"), F.sum("n_unmatched").alias("n_unmatched"))
+
+
+@query(None)
+def route_cues(spark, sf):
+    rows = cues.cues(L.legs(spark, sf))
+    return rows.select("route_id", "ord", "text", "street", "sym", r("lat", 6), r("lon", 6))
