@@ -44,24 +44,34 @@ def foot_restricted(tags: str = "tags") -> Column:
 
 
 def exclusion_reason(tags: str = "tags") -> Column:
-    """Why a way isn't public and walkable; null if it is."""
-    t = {"tags": tags}
+    """Why a way isn't public and walkable; null if it is.
+
+    The tags' values are normalised once a row, and the rules look into that: as one expression with
+    the normalisation in every branch, the chain would outgrow what can be compiled.
+    """
     name = F.lower(display_name(tags))
     parking_name = F.lit(False)
     for words in PARKING_NAMES:
         parking_name = parking_name | F.contains(name, F.lit(words))
-    return (
-        F.when(has("service", *SERVICES, **t), F.lit("parking_or_driveway"))
-        .when(has("highway", *HIGHWAYS, **t), F.lit("non_pedestrian_highway"))
-        .when(has("highway", "elevator", **t), F.lit("mechanical_vertical_transport"))
-        .when(has("railway", "platform", **t) | has("public_transport", "platform", **t) | has("highway", "platform", **t), F.lit("transit_platform"))
-        .when(has("access", *ACCESS, **t) & ~has("foot", *FOOT_ALLOWED, **t), F.lit("restricted_access"))
-        .when(has("amenity", "parking", **t) | (F.size(values(tag("parking", tags))) > 0), F.lit("parking_facility"))
-        .when(has("indoor", "yes", "room", "corridor", **t), F.lit("indoor"))
-        .when(has("tunnel", "building_passage", **t), F.lit("building_passage"))
-        .when(has("area", "yes", "1", "true", **t) & ~is_pier(tags), F.lit("non_linear_area"))
-        .when(parking_name, F.lit("parking_or_loading"))
-    )
+    plain = F.transform_values(tags, lambda _, v: values(v))
+
+    def reason(t: Column) -> Column:
+        def is_(key: str, *wanted: str) -> Column:
+            return F.coalesce(F.arrays_overlap(F.try_element_at(t, F.lit(key)), F.array(*[F.lit(x) for x in wanted])), F.lit(False))
+
+        return (
+            F.when(is_("service", *SERVICES), F.lit("parking_or_driveway"))
+            .when(is_("highway", *HIGHWAYS), F.lit("non_pedestrian_highway"))
+            .when(is_("highway", "elevator"), F.lit("mechanical_vertical_transport"))
+            .when(is_("railway", "platform") | is_("public_transport", "platform") | is_("highway", "platform"), F.lit("transit_platform"))
+            .when(is_("access", *ACCESS) & ~is_("foot", *FOOT_ALLOWED), F.lit("restricted_access"))
+            .when(is_("amenity", "parking") | (F.size(F.coalesce(F.try_element_at(t, F.lit("parking")), F.array().cast("array<string>"))) > 0), F.lit("parking_facility"))
+            .when(is_("indoor", "yes", "room", "corridor"), F.lit("indoor"))
+            .when(is_("tunnel", "building_passage"), F.lit("building_passage"))
+            .when(is_("area", "yes", "1", "true") & ~is_("man_made", "pier"), F.lit("non_linear_area"))
+        )
+
+    return F.coalesce(F.transform(F.array(plain), reason)[0], F.when(parking_name, F.lit("parking_or_loading")))
 
 
 def is_pier_ring(tags: str = "tags") -> Column:
