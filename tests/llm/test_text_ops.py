@@ -273,3 +273,13 @@ def test_near_duplicates_of_an_id_with_several_texts(spark):
     rows = [(1, a), (5, b), (5, a), (7, b), (9, c), (5, c), (11, text(24))]
     got = {r.doc_id: r.component_id for r in near_duplicates.join(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r.doc_id != 5}
     assert got[1] == 1 and got[11] == 11 and got[7] == got[9]
+
+
+def test_html_repeats_are_counted_over_a_split_host(spark, monkeypatch):
+    same = "this notice stands on few pages of a large host and says nothing at all"
+    rows = [(i, f"http://h.example/{i}", (f"<div>{same}</div>" if i % 20 == 0 else "") + f"<div>{text(i, 40)}</div>") for i in range(80)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    whole = sorted(html_text.extract(pages).collect())
+    monkeypatch.setattr(html_text, "PAGES", 4)
+    assert sorted(html_text.extract(pages).collect()) == whole
+    assert all(r.text == text(r.page_id, 40) for r in whole)

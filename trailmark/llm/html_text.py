@@ -3,10 +3,11 @@
 1. Pages are read into blocks by a forgiving tag reader: block-level tags end a block, inline ones
    and line breaks don't. A block is `main` (in an article or main element), `furniture` (in a menu,
    header, footer, sidebar, form, script, advert, notice or comment, by tag, role or class) or open.
-2. Pages of one host, at most about PAGES at a time (larger hosts are split by hash of the page),
-   have their blocks' token streams put end to end, and their suffixes sorted by prefix doubling to
-   a depth of DEPTH tokens. A run of DEPTH tokens or more that starts alike in PAGES_SHARING
-   distinct pages is a repeated one.
+2. Pages of one host have their blocks' token streams put end to end, and their suffixes sorted by
+   prefix doubling to a depth of DEPTH tokens. A run of DEPTH tokens or more that starts alike in
+   PAGES_SHARING distinct pages of the host is a repeated one. Hosts of more than PAGES pages are
+   split by hash of the page: their runs of DEPTH tokens are counted host-wide by hash, and each
+   part gets those of its runs that are repeated on the host.
 3. Furniture goes. Open blocks go where repeated runs cover half of them or more: boilerplate that
    markup doesn't tell. Where a page has main blocks, its open blocks go as well, and main blocks
    stay even if they repeat: articles quote and copy each other, and the article is what is asked
@@ -25,6 +26,7 @@ from collections.abc import Iterator
 from html import unescape
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,8 +52,10 @@ FURNITURE_WORDS = frozenset(
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"(class|id|role|itemprop|hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 SPLIT = re.compile(r"[^a-z0-9]+")
+MULTIPLIER, NO_ID = np.uint64(0x9E3779B97F4A7C15), -(1 << 63)
 PARSED = "page_id long, url string, host string, kinds array<int>, blocks array<string>"
 RESULT = "page_id long, url string, text string, n_chars long, n_repeated long"
+OUT = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64()), ("n_repeated", pa.int64())])
 
 
 def _place(tag: str, attributes: str, outer: int) -> int:
@@ -160,12 +164,75 @@ def repeated(streams: list[list[str]], pages: np.ndarray, depth: int = DEPTH, sh
     page[1:] |= p[1:] != p[:-1]
     run = np.cumsum(new) - 1
     hot = order[np.bincount(run, weights=page)[run] >= sharing] if len(order) else order
+    return covered_from(hot, n, depth)
+
+
+def covered_from(starts: np.ndarray, n: int, depth: int = DEPTH) -> np.ndarray:
+    """For each of n tokens, whether a run of depth tokens from one of the starts covers it."""
     change = np.zeros(n + 1, np.int64)
-    np.add.at(change, hot, 1)
-    np.add.at(change, hot + depth, -1)
+    np.add.at(change, starts, 1)
+    np.add.at(change, starts + depth, -1)
     return np.cumsum(change)[:-1] > 0
 
 
+def windows(streams: list[list[str]], depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
+    """(where the runs of depth tokens start in the streams, end to end; their 64-bit hashes)."""
+    lengths = np.asarray([len(x) for x in streams], np.int64)
+    n = int(lengths.sum())
+    if n < depth:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    ids: dict[str, int] = {}
+    word = np.fromiter((ids.setdefault(w, len(ids)) for x in streams for w in x), np.int64, n)
+    hashed = pd.util.hash_array(np.array(list(ids), object), categorize=False)[word]
+    rest = np.cumsum(lengths)[np.repeat(np.arange(len(streams)), lengths)] - np.arange(n)
+    total = np.zeros(n - depth + 1, np.uint64)
+    for j in range(depth):
+        total = total * MULTIPLIER + hashed[j : n - depth + 1 + j]
+    at = np.flatnonzero(rest[: n - depth + 1] >= depth)
+    return at, total[at].view(np.int64)
+
+
+def evidence(group: pa.Table) -> pa.Table:
+    """Of runs (hash, h, salt, id), those on PAGES_SHARING distinct pages of their host, once a salt."""
+    hashes, h, salt, page = (np.asarray(group.column(x)) for x in ("hash", "h", "salt", "id"))
+    order = np.lexsort((page, hashes, h))
+    hashes, h, salt, page = hashes[order], h[order], salt[order], page[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (hashes[1:] != hashes[:-1]) | (h[1:] != h[:-1])
+    other = new.copy()
+    other[1:] |= page[1:] != page[:-1]
+    run = np.cumsum(new) - 1
+    hot = (np.bincount(run, weights=other)[run] >= PAGES_SHARING) if len(h) else new
+    found = pa.table({"h": h[hot], "salt": salt[hot], "hash": hashes[hot]})
+    return found.group_by(["h", "salt", "hash"]).aggregate([]).select(["h", "salt", "hash"])
+
+
+def runs(split: DataFrame) -> DataFrame:
+    """(hash, h, salt, id): runs of parsed pages (h, salt); of many pages of one salt read together, PAGES_SHARING stand for all."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for begin in range(0, batch.num_rows, 500):
+                b = batch.slice(begin, 500)
+                texts = b.column("blocks").to_pylist()
+                streams = [t.split() for x in texts for t in x]
+                at, hashes = windows(streams)
+                row = np.repeat(np.repeat(np.arange(len(texts)), [len(x) for x in texts]), [len(x) for x in streams])[at] if len(at) else at
+                h, salt, page = (np.asarray(c)[row] for c in (b.column("h"), b.column("salt"), b.column("id")))
+                order = np.lexsort((page, salt, hashes, h))
+                hashes, h, salt, page = hashes[order], h[order], salt[order], page[order]
+                new = np.ones(len(h), bool)
+                new[1:] = (hashes[1:] != hashes[:-1]) | (h[1:] != h[:-1]) | (salt[1:] != salt[:-1])
+                other = new.copy()
+                other[1:] |= page[1:] != page[:-1]
+                hashes, h, salt, page, new = (x[other] for x in (hashes, h, salt, page, new))
+                nth = np.arange(len(h)) - np.maximum.accumulate(np.where(new, np.arange(len(h)), 0)) if len(h) else at
+                few = nth < PAGES_SHARING
+                yield pa.RecordBatch.from_arrays([pa.array(hashes[few]), pa.array(h[few]), pa.array(salt[few]), pa.array(page[few])], names=["hash", "h", "salt", "id"])
+
+    return split.mapInArrow(run, "hash long, h long, salt int, id long")
+
+
 def parsed(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"))
 
@@ -186,15 +253,22 @@ def parsed(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: s
     return rows.mapInArrow(run, PARSED)
 
 
-def decide(group: pa.Table) -> pa.Table:
-    """The pages' text, of a group of pages of one host."""
+def decide(group: pa.Table, hot: pa.Table) -> pa.Table:
+    """The pages' text, of a group of pages of one host; hot: the repeated runs (hash) of a group of a split host."""
+    if not group.num_rows:
+        return pa.table({x.name: pa.array([], x.type) for x in OUT}, schema=OUT)
     ids = group.column("page_id").to_pylist()
     kinds, texts = group.column("kinds").to_pylist(), group.column("blocks").to_pylist()
     names: dict[int | None, int] = {}
     number = [names.setdefault(x, len(names)) for x in ids]
     streams = [t.split() for x in texts for t in x]
     page = np.asarray([n for n, x in zip(number, texts, strict=True) for _ in x], np.int64)
-    covered = np.append(0, np.cumsum(repeated(streams, page)))
+    if group.column("split")[0].as_py():
+        at, hashes = windows(streams)
+        hit = covered_from(at[np.isin(hashes, np.asarray(hot.column("hash")))], sum(len(x) for x in streams))
+    else:
+        hit = repeated(streams, page)
+    covered = np.append(0, np.cumsum(hit))
     ends = np.cumsum([len(x) for x in streams]) if streams else np.zeros(0, np.int64)
     out, tokens, i = [], [], 0
     for ks, ts in zip(kinds, texts, strict=True):
@@ -216,12 +290,22 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
     host = F.coalesce(F.lower(F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)", 1)), F.lit(""))
     large = pages.select(host.alias("_h")).groupBy("_h").agg(F.count("*").alias("_n")).where(F.col("_n") > PAGES)
     large = written(large, "hosts")
-    small = large.count() <= BROADCAST  # so the pages are dealt once, by host and salt
+    many, rows = large.agg(F.count("*"), F.coalesce(F.sum("_n"), F.lit(0))).first()
+    small = many <= BROADCAST  # so the pages are dealt once, by host and salt
     read = parsed(pages, page_id, url, html)
-    split = read.join(F.broadcast(large) if small else large, read["host"] == large["_h"], "left")
     salt = F.pmod(F.xxhash64("page_id"), F.ceil(F.coalesce("_n", F.lit(1)) / PAGES)).cast("int")
-    dealt = split.select("page_id", "url", "kinds", "blocks", "host", salt.alias("salt"))
-    return (dealt if small else dealt.repartition("host", "salt")).groupBy("host", "salt").applyInArrow(decide, RESULT)
+    among = lambda how: read.join(F.broadcast(large) if small else large, read["host"] == large["_h"], how)
+    dealt = among("left").select("page_id", "url", "kinds", "blocks", "host", salt.alias("salt"), F.col("_n").isNotNull().alias("split"))
+    key = F.xxhash64("_h")
+    if rows:
+        found = runs(among("inner").select("blocks", key.alias("h"), salt.alias("salt"), F.coalesce("page_id", F.lit(NO_ID)).alias("id")))
+        bucket = F.pmod(F.xxhash64("hash"), F.lit(-(-rows // PAGES))).alias("bucket")
+        hot = found.select("*", bucket).groupBy("bucket").applyInArrow(evidence, "h long, salt int, hash long")
+        names = large.select(F.col("_h").alias("host"), key.alias("h"))
+        hot = hot.join(F.broadcast(names) if small else names, "h").select("host", "salt", "hash")
+    else:
+        hot = pages.sparkSession.createDataFrame([], "host string, salt int, hash long")
+    return dealt.groupBy("host", "salt").cogroup(hot.groupBy("host", "salt")).applyInArrow(decide, RESULT)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
