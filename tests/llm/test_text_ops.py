@@ -283,3 +283,15 @@ def test_html_repeats_are_counted_over_a_split_host(spark, monkeypatch):
     monkeypatch.setattr(html_text, "PAGES", 4)
     assert sorted(html_text.extract(pages).collect()) == whole
     assert all(r.text == text(r.page_id, 40) for r in whole)
+
+
+@pytest.mark.parametrize("size", [2000, 2])
+def test_html_cuts_repeated_spans_only(spark, monkeypatch, size):
+    monkeypatch.setattr(html_text, "PAGES", size)
+    menu = "<ul><li>home<li>news and more<li>contact us<li>about this site<li>legal</ul>"
+    quote = "a passage that three pages share and that is as long as what else stands here so far"
+    rows = [(i, f"http://h.example/{i}", f"{menu}<p>{text(i, 12)} {quote}</p>") for i in range(4)]
+    rows += [(10 + i, f"http://c.example/{i}", f"<p>{text(99, 30)}</p><p>{text(98, 30)}</p>") for i in range(5)]
+    got = {r.page_id: r for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [got[i].text for i in range(4)] == [text(i, 12) for i in range(4)]
+    assert all(got[10 + i].text == text(99, 30) + "\n\n" + text(98, 30) and got[10 + i].n_repeated == 0 for i in range(5))

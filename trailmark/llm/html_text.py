@@ -3,19 +3,19 @@
 1. Pages are read into blocks by a forgiving tag reader: block-level tags end a block, inline ones
    and line breaks don't. A block is `main` (in an article or main element), `furniture` (in a menu,
    header, footer, sidebar, form, script, advert, notice or comment, by tag, role or class) or open.
-2. Pages of one host have their blocks' token streams put end to end, and their suffixes sorted by
-   prefix doubling to a depth of DEPTH tokens. A run of DEPTH tokens or more that starts alike in
-   PAGES_SHARING distinct pages of the host is a repeated one. Hosts of more than PAGES pages are
+2. A page's blocks are one token stream. The streams of one host are put end to end, and their
+   suffixes sorted by prefix doubling to a depth of DEPTH tokens. A run of DEPTH tokens or more that
+   starts alike in PAGES_SHARING pages of the host, distinct in id and in text, is a repeated one. Hosts of more than PAGES pages are
    split by hash of the page: their runs of DEPTH tokens are counted host-wide by hash, and each
    part gets those of its runs that are repeated on the host.
-3. Furniture goes. Open blocks go where repeated runs cover half of them or more: boilerplate that
-   markup doesn't tell. Where a page has main blocks, its open blocks go as well, and main blocks
+3. Furniture goes. Of open blocks the tokens that repeated runs cover go: boilerplate that markup
+   doesn't tell. Where a page has main blocks, its open blocks go as well, and main blocks
    stay even if they repeat: articles quote and copy each other, and the article is what is asked
    for. So on pages with an article element repeats alone never cost text.
 
 Null or empty html: empty text. Null url: its own group of pages, like urls without a host. Rows
-that repeat an id or a page are pages of their own, except that copies of a page id count as one
-page in finding repeats. Very long pages are read whole. Empty table: empty result. Extra columns
+that repeat an id or a page are pages of their own, except that rows of one page id, and whole
+copies of a page's text, count as one page in finding repeats. Very long pages are read whole. Empty table: empty result. Extra columns
 aren't carried.
 """
 
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import table, written
 
-DEPTH, PAGES_SHARING, PAGES, COVERED = 8, 3, 2000, 0.5
+DEPTH, PAGES_SHARING, PAGES = 8, 3, 2000
 #: Hosts of more than PAGES pages are broadcast up to this number, about 50 MB; more are joined by shuffling.
 BROADCAST = 500_000
 MAIN, OPEN, FURNITURE = 0, 1, 2
@@ -132,10 +132,25 @@ def blocks(html: str | None) -> list[tuple[int, str]]:
     return out
 
 
-def repeated(streams: list[list[str]], pages: np.ndarray, depth: int = DEPTH, sharing: int = PAGES_SHARING) -> np.ndarray:
+def firsts(run: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(an index of each distinct (run, key), its number among those of its run)."""
+    order = np.lexsort((key, run))
+    r, k = run[order], key[order]
+    new = np.ones(len(r), bool)
+    new[1:] = (r[1:] != r[:-1]) | (k[1:] != k[:-1])
+    at = order[new]
+    return at, np.arange(len(at)) - np.searchsorted(run[at], run[at])
+
+
+def shared(run: np.ndarray, sharing: int, *keys: np.ndarray) -> np.ndarray:
+    """For each member of runs (numbered from 0), whether its run has as many distinct values of every key."""
+    return np.logical_and.reduce([np.bincount(run[firsts(run, key)[0]]) >= sharing for key in keys])[run] if len(run) else run.astype(bool)
+
+
+def repeated(streams: list[list[str]], pages: np.ndarray, depth: int = DEPTH, sharing: int = PAGES_SHARING, copies: np.ndarray | None = None) -> np.ndarray:
     """For each token of the streams, end to end, whether a repeated run covers it.
 
-    pages: the page of each stream. Suffixes are ranked by their first 1, 2, 4 ... depth tokens;
+    pages: the page of each stream; copies: the text of its page, by number. Suffixes are ranked by their first 1, 2, 4 ... depth tokens;
     a suffix that ends before depth tokens of its stream is none.
     """
     lengths = np.asarray([len(x) for x in streams], np.int64)
@@ -156,14 +171,8 @@ def repeated(streams: list[list[str]], pages: np.ndarray, depth: int = DEPTH, sh
         _, rank = np.unique(rank * (n + 1) + after + 1, return_inverse=True)
         size += step
     whole = np.flatnonzero(rest >= depth)
-    order = whole[np.lexsort((pages[owner[whole]], rank[whole]))]  # the suffix array, to this depth
-    r, p = rank[order], pages[owner[order]]
-    new = np.ones(len(order), bool)
-    new[1:] = r[1:] != r[:-1]
-    page = new.copy()
-    page[1:] |= p[1:] != p[:-1]
-    run = np.cumsum(new) - 1
-    hot = order[np.bincount(run, weights=page)[run] >= sharing] if len(order) else order
+    run = np.unique(rank[whole], return_inverse=True)[1]  # the suffix array, to this depth
+    hot = whole[shared(run, sharing, pages[owner[whole]], (pages if copies is None else copies)[owner[whole]])]
     return covered_from(hot, n, depth)
 
 
@@ -192,45 +201,43 @@ def windows(streams: list[list[str]], depth: int = DEPTH) -> tuple[np.ndarray, n
     return at, total[at].view(np.int64)
 
 
+def numbered(*keys: np.ndarray) -> np.ndarray:
+    """The run of each row, by number: rows with the same keys."""
+    order = np.lexsort(keys)
+    new = np.zeros(len(order), np.int64)
+    for key in keys:
+        new[1:] |= key[order][1:] != key[order][:-1]
+    run = np.empty(len(order), np.int64)
+    run[order] = np.cumsum(new)
+    return run
+
+
 def evidence(group: pa.Table) -> pa.Table:
-    """Of runs (hash, h, salt, id), those on PAGES_SHARING distinct pages of their host, once a salt."""
-    hashes, h, salt, page = (np.asarray(group.column(x)) for x in ("hash", "h", "salt", "id"))
-    order = np.lexsort((page, hashes, h))
-    hashes, h, salt, page = hashes[order], h[order], salt[order], page[order]
-    new = np.ones(len(h), bool)
-    new[1:] = (hashes[1:] != hashes[:-1]) | (h[1:] != h[:-1])
-    other = new.copy()
-    other[1:] |= page[1:] != page[:-1]
-    run = np.cumsum(new) - 1
-    hot = (np.bincount(run, weights=other)[run] >= PAGES_SHARING) if len(h) else new
+    """Of runs (hash, h, salt, id, copy), those on PAGES_SHARING distinct pages of their host, once a salt."""
+    hashes, h, salt, page, copy = (np.asarray(group.column(x)) for x in ("hash", "h", "salt", "id", "copy"))
+    hot = shared(numbered(hashes, h), PAGES_SHARING, page, copy)
     found = pa.table({"h": h[hot], "salt": salt[hot], "hash": hashes[hot]})
     return found.group_by(["h", "salt", "hash"]).aggregate([]).select(["h", "salt", "hash"])
 
 
 def runs(split: DataFrame) -> DataFrame:
-    """(hash, h, salt, id): runs of parsed pages (h, salt); of many pages of one salt read together, PAGES_SHARING stand for all."""
+    """(hash, h, salt, id, copy): runs of parsed pages (h, salt); of many pages of one salt read together, PAGES_SHARING ids and texts stand for all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for begin in range(0, batch.num_rows, 500):
                 b = batch.slice(begin, 500)
-                texts = b.column("blocks").to_pylist()
-                streams = [t.split() for x in texts for t in x]
+                texts = [" ".join(x) for x in b.column("blocks").to_pylist()]
+                streams = [x.split() for x in texts]
                 at, hashes = windows(streams)
-                row = np.repeat(np.repeat(np.arange(len(texts)), [len(x) for x in texts]), [len(x) for x in streams])[at] if len(at) else at
+                row = np.repeat(np.arange(len(texts)), [len(x) for x in streams])[at]
                 h, salt, page = (np.asarray(c)[row] for c in (b.column("h"), b.column("salt"), b.column("id")))
-                order = np.lexsort((page, salt, hashes, h))
-                hashes, h, salt, page = hashes[order], h[order], salt[order], page[order]
-                new = np.ones(len(h), bool)
-                new[1:] = (hashes[1:] != hashes[:-1]) | (h[1:] != h[:-1]) | (salt[1:] != salt[:-1])
-                other = new.copy()
-                other[1:] |= page[1:] != page[:-1]
-                hashes, h, salt, page, new = (x[other] for x in (hashes, h, salt, page, new))
-                nth = np.arange(len(h)) - np.maximum.accumulate(np.where(new, np.arange(len(h)), 0)) if len(h) else at
-                few = nth < PAGES_SHARING
-                yield pa.RecordBatch.from_arrays([pa.array(hashes[few]), pa.array(h[few]), pa.array(salt[few]), pa.array(page[few])], names=["hash", "h", "salt", "id"])
+                copy = pd.util.hash_array(np.array(texts, object), categorize=False).view(np.int64)[row]
+                same = numbered(hashes, salt, h)
+                few = np.unique(np.concatenate([i[nth < PAGES_SHARING] for i, nth in (firsts(same, page), firsts(same, copy))]))
+                yield pa.RecordBatch.from_arrays([pa.array(x[few]) for x in (hashes, h, salt, page, copy)], names=["hash", "h", "salt", "id", "copy"])
 
-    return split.mapInArrow(run, "hash long, h long, salt int, id long")
+    return split.mapInArrow(run, "hash long, h long, salt int, id long, copy long")
 
 
 def parsed(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
@@ -261,25 +268,25 @@ def decide(group: pa.Table, hot: pa.Table) -> pa.Table:
     kinds, texts = group.column("kinds").to_pylist(), group.column("blocks").to_pylist()
     names: dict[int | None, int] = {}
     number = [names.setdefault(x, len(names)) for x in ids]
-    streams = [t.split() for x in texts for t in x]
-    page = np.asarray([n for n, x in zip(number, texts, strict=True) for _ in x], np.int64)
+    words = [[t.split() for t in x] for x in texts]
+    streams = [[w for t in x for w in t] for x in words]
     if group.column("split")[0].as_py():
         at, hashes = windows(streams)
         hit = covered_from(at[np.isin(hashes, np.asarray(hot.column("hash")))], sum(len(x) for x in streams))
     else:
-        hit = repeated(streams, page)
-    covered = np.append(0, np.cumsum(hit))
-    ends = np.cumsum([len(x) for x in streams]) if streams else np.zeros(0, np.int64)
-    out, tokens, i = [], [], 0
-    for ks, ts in zip(kinds, texts, strict=True):
+        seen: dict[str, int] = {}
+        copies = [seen.setdefault(" ".join(x), len(seen)) for x in texts]
+        hit = repeated(streams, np.asarray(number, np.int64), copies=np.asarray(copies, np.int64))
+    out, tokens, at = [], [], 0
+    for ks, ts, ws in zip(kinds, texts, words, strict=True):
         has_main, kept, total = MAIN in ks, [], 0
-        for k, t in zip(ks, ts, strict=True):
-            n = len(streams[i])
-            hit = int(covered[ends[i]] - covered[ends[i] - n])
-            total += hit
-            if k == MAIN or k == OPEN and not has_main and hit < COVERED * n:
-                kept.append(t)
-            i += 1
+        for k, t, w in zip(ks, ts, ws, strict=True):
+            cut = hit[at : at + len(w)]
+            n = int(cut.sum())
+            total += n
+            if k == MAIN or k == OPEN and not has_main and n < len(w):
+                kept.append(" ".join(x for x, c in zip(w, cut.tolist(), strict=True) if not c) if k == OPEN and n else t)
+            at += len(w)
         out.append("\n\n".join(kept))
         tokens.append(total)
     return pa.table({"page_id": group.column("page_id"), "url": group.column("url"), "text": pa.array(out, pa.string()), "n_chars": pa.array([len(x) for x in out], pa.int64()), "n_repeated": pa.array(tokens, pa.int64())})
