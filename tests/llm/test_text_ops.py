@@ -295,3 +295,20 @@ def test_html_cuts_repeated_spans_only(spark, monkeypatch, size):
     got = {r.page_id: r for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert [got[i].text for i in range(4)] == [text(i, 12) for i in range(4)]
     assert all(got[10 + i].text == text(99, 30) + "\n\n" + text(98, 30) and got[10 + i].n_repeated == 0 for i in range(5))
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        '<body style="overflow-x:hidden"><p>Kept</p></body>', '<p aria-hidden="false">Kept</p>', '<p title="no hidden cost">Kept</p>', '<p><a href="/hidden-gems?id=nav">Kept</a></p>',
+        '<div class="site no-sidebar"><p>Kept</p></div>', "<svg/><p>Kept</p>", "<svg><g><text>a</text></g><p>Kept</p>", "<datalist><option value=x><p>Kept</p>", "<div><iframe src=x></div><p>Kept</p>", "<object>Kept",
+        "<p>Ke<noscript><div>a</div></noscript>pt</p>", "<p>Ke<select><option>a<option>b</select>pt</p>", "<p>Kept</p><script>a </p> b", "<p>Kept</p><svg><foreignObject><p>a</p></foreignObject></svg>",
+    ],
+)
+def test_html_loses_no_text_by_loose_patterns(page):
+    assert html_text.blocks(page) == [(html_text.OPEN, "Kept")]
+
+
+def test_html_class_words_do_not_override_an_enclosed_article():
+    got = html_text.blocks('<div class="site sidebar-left"><div>a</div><article>b<div class="comments">c</div></article></div><p hidden>d</p><article class="comment">e</article>')
+    assert got == [(html_text.FURNITURE, "a"), (html_text.MAIN, "b"), (html_text.FURNITURE, "c"), (html_text.FURNITURE, "d"), (html_text.FURNITURE, "e")]

@@ -3,6 +3,9 @@
 1. Pages are read into blocks by a forgiving tag reader: block-level tags end a block, inline ones
    and line breaks don't. A block is `main` (in an article or main element), `furniture` (in a menu,
    header, footer, sidebar, form, script, advert, notice or comment, by tag, role or class) or open.
+   An article or main element is main even inside what only class or id words call furniture.
+   Frames, drawings, options and the like are left out, up to their end, the end of what they stand
+   in or, where HTML lets them end so, the next block; without any of these only their tag is.
 2. A page's blocks are one token stream. The streams of one host are put end to end, and their
    suffixes sorted by prefix doubling to a depth of DEPTH tokens. A run of DEPTH tokens or more that
    starts alike in PAGES_SHARING pages of the host, distinct in id and in text, is a repeated one. Hosts of more than PAGES pages are
@@ -23,6 +26,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from html import unescape
 
 import numpy as np
@@ -34,11 +38,19 @@ from pyspark.sql import functions as F
 from .common import table, written
 
 DEPTH, PAGES_SHARING, PAGES = 8, 3, 2000
+READ, COUNTED = 1000, 250  # pages whose runs are gathered, and counted, at once
 #: Hosts of more than PAGES pages are broadcast up to this number, about 50 MB; more are joined by shuffling.
 BROADCAST = 500_000
-MAIN, OPEN, FURNITURE = 0, 1, 2
+MAIN, OPEN, FURNITURE, WORDED = 0, 1, 2, 3  # WORDED: furniture by class or id words; only while reading
 #: Fixed lists: names of HTML.
-RAW = frozenset("script style noscript template textarea title iframe svg math select option object".split())
+RAW = frozenset("script style textarea title".split())
+LEFT_OUT = frozenset("noscript template iframe svg math select datalist option object".split())
+#: LEFT_OUT elements that a block ends, and the blocks that do.
+OPEN_ENDED = frozenset("svg math select datalist option".split())
+BREAKS = frozenset(
+    "address article aside blockquote body center dd details div dl dt fieldset figure footer form h1 h2 h3 h4 h5 h6 header li main nav ol p pre section table tbody td th tr ul".split()
+)
+STATE = re.compile(r"(?:no|not|non|without|with|has|hide)[-_]")  # such class names say what a page has, not what the element is
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img br".split()
@@ -50,7 +62,7 @@ FURNITURE_WORDS = frozenset(
     "navigation newsletter notice overlay pagination pager popup promo promoted related respond share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
 )
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-ATTRIBUTE = re.compile(r"(class|id|role|itemprop|hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 SPLIT = re.compile(r"[^a-z0-9]+")
 MULTIPLIER, NO_ID = np.uint64(0x9E3779B97F4A7C15), -(1 << 63)
 PARSED = "page_id long, url string, host string, kinds array<int>, blocks array<string>"
@@ -62,17 +74,45 @@ def _place(tag: str, attributes: str, outer: int) -> int:
     """What an element's text is, given what its parent's is."""
     if outer == FURNITURE or tag in FURNITURE_TAGS:
         return FURNITURE
-    inner = MAIN if tag in ("article", "main") else outer
+    main, worded = tag in ("article", "main"), False
     if attributes.strip(" /\n\t\r"):
         for name, *values in ATTRIBUTE.findall(attributes):
             value, name = "".join(values).lower(), name.lower()
             if name == "hidden" or name == "role" and value in FURNITURE_ROLES:
                 return FURNITURE
-            if name in ("class", "id") and tag not in ("html", "body") and not FURNITURE_WORDS.isdisjoint(SPLIT.split(value)):
-                return FURNITURE
-            if name == "role" and value == "main" or name == "itemprop" and value == "articlebody":
-                inner = MAIN
-    return inner
+            if name in ("class", "id") and tag not in ("html", "body"):
+                worded |= any(not FURNITURE_WORDS.isdisjoint(SPLIT.split(x)) for x in value.split() if not STATE.match(x))
+            main |= name == "role" and value == "main" or name == "itemprop" and value == "articlebody"
+    return WORDED if worded else MAIN if main else outer
+
+
+def _after(html: str, at: int, tag: str, around: list[tuple[str, int]]) -> int:
+    """Where to read on after the start tag of a LEFT_OUT element that ends at `at`; -1: it has no end."""
+    outer, inner = {x for x, _ in around}, [tag]
+    while m := TAG.search(html, at):
+        at = max(m.end(), m.start() + 1)
+        name = (m[2] or "").lower()
+        if m[1]:
+            if name in inner:
+                while inner.pop() != name:
+                    pass
+                if not inner:
+                    return at
+            elif name in outer:
+                return m.start()
+        elif name in RAW:
+            close = _close(name).search(html, at)
+            at = close.end() if close else len(html)
+        elif name in BREAKS and tag in OPEN_ENDED and "foreignobject" not in inner:
+            return m.start()
+        elif name and name not in VOID and not m[3].rstrip().endswith("/"):
+            inner.append(name)
+    return -1
+
+
+@lru_cache(maxsize=len(RAW))
+def _close(tag: str) -> re.Pattern:
+    return re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I)
 
 
 def blocks(html: str | None) -> list[tuple[int, str]]:
@@ -83,11 +123,12 @@ def blocks(html: str | None) -> list[tuple[int, str]]:
     stack: list[tuple[str, int]] = []
     kind = OPEN
     held: dict[int, list[str]] = {}
+    endless: set[str] = set()  # LEFT_OUT names without an end in the rest of the page
 
     def flush() -> None:
         for k, parts in held.items():
             if text := " ".join("".join(parts).split()):
-                out.append((k, text))
+                out.append((FURNITURE if k == WORDED else k, text))
         held.clear()
 
     at = 0
@@ -117,9 +158,17 @@ def blocks(html: str | None) -> list[tuple[int, str]]:
             kind = stack[-1][1] if stack else OPEN
             continue
         if tag in RAW:
-            close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
+            close = _close(tag).search(html, at)
             at = close.end() if close else len(html)
             continue
+        if tag in LEFT_OUT:
+            if tag not in endless and not m[3].rstrip().endswith("/"):
+                after = _after(html, at, tag, stack)
+                if after < 0:
+                    endless.add(tag)
+                else:
+                    at = after
+            continue
         if tag not in INLINE:
             flush()
             while stack and (stack[-1][0] in INLINE or stack[-1][0] == "p" or stack[-1][0] == tag and tag in ("li", "dt", "dd", "tr", "td", "th") or tag == "body" and stack[-1][0] == "head"):
@@ -225,8 +274,8 @@ def runs(split: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for begin in range(0, batch.num_rows, 500):
-                b = batch.slice(begin, 500)
+            for begin in range(0, batch.num_rows, READ):
+                b = batch.slice(begin, READ)
                 texts = [" ".join(x) for x in b.column("blocks").to_pylist()]
                 streams = [x.split() for x in texts]
                 at, hashes = windows(streams)
@@ -268,8 +317,7 @@ def decide(group: pa.Table, hot: pa.Table) -> pa.Table:
     kinds, texts = group.column("kinds").to_pylist(), group.column("blocks").to_pylist()
     names: dict[int | None, int] = {}
     number = [names.setdefault(x, len(names)) for x in ids]
-    words = [[t.split() for t in x] for x in texts]
-    streams = [[w for t in x for w in t] for x in words]
+    streams = [" ".join(x).split() for x in texts]
     if group.column("split")[0].as_py():
         at, hashes = windows(streams)
         hit = covered_from(at[np.isin(hashes, np.asarray(hot.column("hash")))], sum(len(x) for x in streams))
@@ -278,15 +326,16 @@ def decide(group: pa.Table, hot: pa.Table) -> pa.Table:
         copies = [seen.setdefault(" ".join(x), len(seen)) for x in texts]
         hit = repeated(streams, np.asarray(number, np.int64), copies=np.asarray(copies, np.int64))
     out, tokens, at = [], [], 0
-    for ks, ts, ws in zip(kinds, texts, words, strict=True):
+    for ks, ts in zip(kinds, texts, strict=True):
         has_main, kept, total = MAIN in ks, [], 0
-        for k, t, w in zip(ks, ts, ws, strict=True):
-            cut = hit[at : at + len(w)]
+        for k, t in zip(ks, ts, strict=True):
+            size = t.count(" ") + 1  # blocks have single spaces
+            cut = hit[at : at + size]
             n = int(cut.sum())
             total += n
-            if k == MAIN or k == OPEN and not has_main and n < len(w):
-                kept.append(" ".join(x for x, c in zip(w, cut.tolist(), strict=True) if not c) if k == OPEN and n else t)
-            at += len(w)
+            if k == MAIN or k == OPEN and not has_main and n < size:
+                kept.append(" ".join(x for x, c in zip(t.split(" "), cut.tolist(), strict=True) if not c) if k == OPEN and n else t)
+            at += size
         out.append("\n\n".join(kept))
         tokens.append(total)
     return pa.table({"page_id": group.column("page_id"), "url": group.column("url"), "text": pa.array(out, pa.string()), "n_chars": pa.array([len(x) for x in out], pa.int64()), "n_repeated": pa.array(tokens, pa.int64())})
@@ -306,7 +355,7 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
     key = F.xxhash64("_h")
     if rows:
         found = runs(among("inner").select("blocks", key.alias("h"), salt.alias("salt"), F.coalesce("page_id", F.lit(NO_ID)).alias("id")))
-        bucket = F.pmod(F.xxhash64("hash"), F.lit(-(-rows // PAGES))).alias("bucket")
+        bucket = F.pmod(F.xxhash64("hash"), F.lit(-(-rows // COUNTED))).alias("bucket")
         hot = found.select("*", bucket).groupBy("bucket").applyInArrow(evidence, "h long, salt int, hash long")
         names = large.select(F.col("_h").alias("host"), key.alias("h"))
         hot = hot.join(F.broadcast(names) if small else names, "h").select("host", "salt", "hash")
