@@ -312,3 +312,12 @@ def test_html_loses_no_text_by_loose_patterns(page):
 def test_html_class_words_do_not_override_an_enclosed_article():
     got = html_text.blocks('<div class="site sidebar-left"><div>a</div><article>b<div class="comments">c</div></article></div><p hidden>d</p><article class="comment">e</article>')
     assert got == [(html_text.FURNITURE, "a"), (html_text.MAIN, "b"), (html_text.FURNITURE, "c"), (html_text.FURNITURE, "d"), (html_text.FURNITURE, "e")]
+
+
+def test_language_model_query_keeps_single_ngrams(spark, tmp_path):
+    held = [zlib.crc32(str(i).encode()) % 5 == 1 for i in range(20)]
+    copy, learnt = held.index(True), [i for i, x in enumerate(held) if not x]
+    rows = [(i, text(7 if k == 0 else 100 + i)) for k, i in enumerate(learnt[:3])] + [(copy, text(7))]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"file://{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in language_model.query(spark, f"file://{tmp_path}").collect()}
+    assert got[copy].held_out and got[copy].score > got[copy].base_score + 0.3 * got[copy].n_tokens

@@ -1,8 +1,8 @@
 """Operator 1: n-gram language model in an Elias-Fano trie, and scores of texts.
 
 Tokens are words, A-Z lower-cased, by 64-bit hash, and one end after each text, which is also what
-stands before its first word. Counting is distributed and exact; n-grams of two and more tokens are
-kept from MIN_COUNT on. Probabilities are interpolated: p(w | context) = (c - D) / c(context) +
+stands before its first word. Counting is distributed and exact; the query keeps all n-grams, and
+train() by itself those of two and more tokens from a count of MIN_COUNT on. Probabilities are interpolated: p(w | context) = (c - D) / c(context) +
 left(context) * p(w | shorter context), where left(context) is what the kept n-grams leave; single
 tokens have (c + 0.5) / (N + 0.5 * (V + 1)).
 
@@ -253,7 +253,7 @@ def nodes(trie: Trie, hashes: np.ndarray, n: np.ndarray, upto: int) -> tuple[np.
     return ids, counts, parents, p, node
 
 
-def counted(texts: DataFrame, model: Model | None, order: int) -> DataFrame:
+def counted(texts: DataFrame, model: Model | None, order: int, fewest: int = MIN_COUNT) -> DataFrame:
     """(seg, parent, word, n): the training n-grams of an order, counted in windows of WINDOW tokens and added up.
 
     Of order 1, word is the hash and parent 0. Else parent is the context's segment (from bit PLACES
@@ -267,9 +267,9 @@ def counted(texts: DataFrame, model: Model | None, order: int) -> DataFrame:
             return np.zeros(len(hashes), np.int64), hashes.view(np.int64)
         trie = model.trie()
         ids, counts, parents, _, node = nodes(trie, hashes, n, order)
-        fine = (parents[-1] >= 0) & (counts >= MIN_COUNT) & (node >= 0)
+        fine = (parents[-1] >= 0) & (counts >= fewest) & (node >= 0)
         if order == 2:
-            fine[1:] &= counts[:-1] >= MIN_COUNT
+            fine[1:] &= counts[:-1] >= fewest
         parent, bases = parents[-1][fine], trie.bases[order - 2]
         seg = np.searchsorted(bases, parent, side="right") - 1
         return (seg << PLACES) + parent - bases[seg], ids[fine]
@@ -351,13 +351,13 @@ def stored(blobs: DataFrame, segments: int, folder: str, level: int) -> tuple[st
     return name, tuple(starts), tuple(sizes)
 
 
-def train(texts: DataFrame, order: int = ORDER) -> Model:
-    """The model of texts (text). Segments: as many as the session's shuffle partitions, as a power of two."""
+def train(texts: DataFrame, order: int = ORDER, fewest: int = MIN_COUNT) -> Model:
+    """The model of texts (text), of n-grams that occur `fewest` times or more. Segments: as many as the session's shuffle partitions, as a power of two."""
     folder = shared_dir(texts.sparkSession)
     model = Model(max(2, (int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length()))
     for k in range(1, order + 1):
-        grams = counted(texts, model, k)
-        grams = written(grams if k == 1 else grams.where(F.col("n") >= MIN_COUNT), f"grams{k}")
+        grams = counted(texts, model, k, fewest)
+        grams = written(grams if k == 1 or fewest < 2 else grams.where(F.col("n") >= fewest), f"grams{k}")
         if k == 1:
             model.total = int(grams.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
         blobs = written(grams.groupBy("seg").applyInArrow(build(model, k, order), "seg int, size long, blob binary"), f"blobs{k}")
@@ -396,7 +396,7 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = train(docs.where(~held_out()).select("text"))
+    model = train(docs.where(~held_out()).select("text"), fewest=1)
     return scored(docs, model).select(
         "doc_id", held_out().alias("held_out"), "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score"
     )
