@@ -215,10 +215,11 @@ walkable AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY walk_id, seg_o
 
 
 def route(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Walks over the grid: from each 97th node (route), a fixed pattern of 12 steps east and north, as route rows with ends."""
+    """Walks over the grid: from each node (route) whose steps stay on it, a fixed pattern of 12 steps east and north, as route rows with ends."""
     part = read(spark, sf_dir, "part")
     n = part.agg(F.count("*").alias("n"))
-    start = part.where("p_partkey % 97 = 0 and p_partkey % 40 < 30").select(F.col("p_partkey").alias("k0")).join(F.broadcast(n)).where("k0 + 250 < n")
+    # 8 steps east and 4 north
+    start = part.where("p_partkey % 40 + 8 < 40").select(F.col("p_partkey").alias("k0")).join(F.broadcast(n)).where("k0 + 8 + 4 * 40 < n")
     i = F.col("i")
     # of three steps the third goes north
     east = lambda x: x - F.floor(x / 3).cast("long")
