@@ -312,14 +312,14 @@ comps AS (WITH RECURSIVE walk(x, y) AS (SELECT a, a FROM step UNION SELECT w.x,
 """
 
 
-def _sparse(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _reasoned(spark, sf).where("reason is null and length > 120")
+def _public(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _reasoned(spark, sf).where("reason is null")
     return rows.withColumn("u", F.col("u").cast("long")).withColumn("v", F.col("v").cast("long"))
 
 
 @query(f"WITH {L.NET} {_COMPS} SELECT node_id, component FROM comps")
 def network_components(spark, sf):
-    return network.components(_sparse(spark, sf))
+    return network.components(_public(spark, sf))
 
 
 @query(
@@ -329,7 +329,7 @@ def network_components(spark, sf):
     HAVING sum(CASE WHEN name IS NOT NULL THEN length ELSE 0 END) / 1000 >= 0.05"""
 )
 def island_totals(spark, sf):
-    e = _sparse(spark, sf).withColumn("coverage_required", display_name() != "")
+    e = _public(spark, sf).withColumn("coverage_required", display_name() != "")
     return network.island_totals(e, network.components(e)).select("component", "nodes", "edges", r("required_km", 6))
 
 
