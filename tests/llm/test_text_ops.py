@@ -231,7 +231,7 @@ def test_language_model_by_brute_force(spark):
     p1 = lambda w: (one[w] + 0.5) / (total + 0.5 * (types + 1))
 
     def mixed(counts, context, size, w, lower):
-        kept = {k[-1]: c for k, c in counts.items() if k[:-1] == context and c >= 2}
+        kept = {k[-1]: c for k, c in counts.items() if k[:-1] == context}
         left = 1 - sum(c - 0.75 for c in kept.values()) / size
         return (kept[w] - 0.75) / size + left * lower if w in kept else left * lower
 
@@ -241,24 +241,23 @@ def test_language_model_by_brute_force(spark):
             p = p1(s[j])
             if one[s[j - 1]] or s[j - 1] is None:
                 p = mixed(two, (s[j - 1],), one[s[j - 1]], s[j], p)
-            if j > 1 and two[s[j - 2], s[j - 1]] >= 2:
+            if j > 1 and two[s[j - 2], s[j - 1]]:
                 p = mixed(three, (s[j - 2], s[j - 1]), two[s[j - 2], s[j - 1]], s[j], p)
             out += math.log10(p)
         return out
 
-    model = language_model.train(df.where(~language_model.held_out()).select("text"))
-    assert model.total == total
-    for r in language_model.scored(df, model).collect():
+    scores, n, v = language_model.score(df, ~language_model.held_out())
+    assert (n, v) == (total, types)
+    for r in scores.collect():
         assert r.n_tokens == len(seqs[r.doc_id]) and r.n_known == sum(one[w] > 0 for w in seqs[r.doc_id])
         assert r.base_score == pytest.approx(sum(math.log10(p1(w)) for w in seqs[r.doc_id]))
         assert r.score == pytest.approx(score(r.doc_id), abs=0.002 * r.n_tokens)
 
 
 def test_language_model_of_nothing(spark):
-    model = language_model.train(spark.createDataFrame([], "text string"))
-    assert model.total == 0
-    got = language_model.scored(spark.createDataFrame([(1, "a b")], "doc_id long, text string"), model).first()
-    assert got.n_tokens == 3 and got.n_known == 0 and got.base_score == 0
+    scores, n, v = language_model.score(spark.createDataFrame([(1, "a b")], "doc_id long, text string"), F.lit(False))
+    got = scores.first()
+    assert (n, v) == (0, 0) and got.n_tokens == 3 and got.n_known == 0 and got.base_score == 0
 
 
 def test_shingles_by_brute_force():
@@ -321,3 +320,48 @@ def test_language_model_query_keeps_single_ngrams(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"file://{tmp_path}/documents.parquet")
     got = {r.doc_id: r for r in language_model.query(spark, f"file://{tmp_path}").collect()}
     assert got[copy].held_out and got[copy].score > got[copy].base_score + 0.3 * got[copy].n_tokens
+
+
+def thue_morse(a, b):
+    return "".join((a, b)[bin(i).count("1") % 2] for i in range(1024))
+
+
+def test_language_model_tells_regular_words_apart(spark):
+    docs = spark.createDataFrame([(1, thue_morse("a", "b")), (2, thue_morse("b", "a"))], "doc_id long, text string")
+    scores, n, v = language_model.score(docs, F.col("doc_id") == 1)
+    assert all(math.isfinite(r.score) for r in scores.collect())
+    assert (n, v) == (2, 2) and {r.doc_id: r.n_known for r in scores.collect()} == {1: 2, 2: 1}
+
+
+def test_language_model_of_unknown_words_after_a_known_one(spark):
+    df = spark.createDataFrame([(1, "x y"), (2, "x zz")], "doc_id long, text string").repartition(2)
+    got = {r.doc_id: r for r in language_model.score(df, F.col("doc_id") == 1)[0].collect()}
+    p1 = lambda c: (c + 0.5) / (3 + 0.5 * 4)
+    first = 0.25 + 0.75 * p1(1)  # x after the end; then zz after x, and the end after zz
+    assert got[2].score == pytest.approx(math.log10(first * 0.75 * (0.75 * p1(0)) * p1(1)), abs=0.002)
+
+
+def test_words_that_share_their_first_hash_bits():
+    rest, more = np.array([5, 5, 5, 9], np.uint64), np.array([1, 4, 7, 1], np.uint16)
+    level = language_model.Words(language_model.Words.build(rest, more, np.array([3, 1, 2, 4]), 3))
+    assert level.find(np.array([5, 5, 5, 5, 9, 8], np.uint64), np.array([7, 1, 4, 2, 1, 1], np.uint16)).tolist() == [2, 0, 1, -1, 3, -1]
+
+
+def test_bundles_round_trip():
+    arrays = [np.array([], np.int64), np.arange(300), np.array([2**62, 0, 7])]
+    assert all((a == b).all() for a, b in zip(arrays, language_model.unbundle(language_model.bundle(*arrays)), strict=True))
+
+
+def test_language_model_query_of_odd_rows(spark, tmp_path, monkeypatch):
+    """Null, empty, blank and very long texts, null and repeated ids, a clashing column; several windows and segments give the same."""
+    rows = [(None, "a b c"), (1, None), (1, None), (2, ""), (3, " \t"), (4, "a b " * 20_000), (5, "the end of the end"), (6, "the end of the end"), (7, "A B C")]
+    df = spark.createDataFrame([(i, t, 3.0) for i, t in rows], "doc_id long, text string, score double").repartition(2)
+    df.write.parquet(f"file://{tmp_path}/documents.parquet")
+    key = lambda r: (r.doc_id is None, r.doc_id, r.n_tokens, r.n_known, round(r.score, 9), round(r.base_score, 6))
+    one = sorted(map(key, language_model.query(spark, f"file://{tmp_path}").collect()), key=str)
+    assert len(one) == len(rows) and [x[2] for x in one if x[1] == 4] == [40_001]
+    monkeypatch.setattr(language_model, "GRAMS", 1000)
+    monkeypatch.setattr(language_model, "SAMPLED", 2)
+    assert sorted(map(key, language_model.query(spark, f"file://{tmp_path}").collect()), key=str) == one
+    none = language_model.score(df.limit(0), F.lit(True))
+    assert none[0].count() == 0 and none[1:] == (0, 0)

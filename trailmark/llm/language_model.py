@@ -1,50 +1,112 @@
 """Operator 1: n-gram language model in an Elias-Fano trie, and scores of texts.
 
-Tokens are words, A-Z lower-cased, by 64-bit hash, and one end after each text, which is also what
-stands before its first word. Counting is distributed and exact; the query keeps all n-grams, and
-train() by itself those of two and more tokens from a count of MIN_COUNT on. Probabilities are interpolated: p(w | context) = (c - D) / c(context) +
-left(context) * p(w | shorter context), where left(context) is what the kept n-grams leave; single
-tokens have (c + 0.5) / (N + 0.5 * (V + 1)).
-
-The trie has a level for each order. Level 1: sorted word hashes (Elias-Fano) and counts; a word's
-index is its id. Level k: for each node of level k - 1, a monotone pointer to its children; the
-children's word ids, made one monotone sequence by starting each node's where the last one's ended,
-so a child is found by a successor search relative to its context; 16-bit logarithms of the
-probability; counts; and for each parent 16-bit logarithms of `left`. Levels are cut into segments by the hash of
-the first word. Segments are built by separate tasks, stored one after another in a file of the
-shared folder, sent along by SparkContext.addFile, and memory-mapped by the workers: a model is read
-from pages that all workers of a machine share, and no task or driver holds more than a segment.
+Tokens are words, A-Z lower-cased, and one end after each text, which is also what stands before its
+first word. All n-grams of one to three tokens of the texts learnt from are counted, none left out.
+Probabilities are interpolated: p(w | context) = share(context, w) + left(context) * p(w | shorter context)
+with share = (c - D) / c(context) and left = D * (distinct next tokens) / c(context); single tokens
+have (c + 0.5) / (N + 0.5 * (V + 1)), N tokens and V distinct ones learnt from.
+
+The model is never in one place. It is cut into segments of about equal size, each built, mapped
+and asked in one task; what goes through the network are compressed sorted lists, a row for each
+window of about WINDOW tokens and segment:
+
+1. Texts are read once into windows: a window holds its texts' tokens as numbers of its own word
+   list. A word is known by 80 bits of a 128-bit hash of its bytes (at 10^10 distinct words, some
+   4 in 100,000 corpora hold two that agree).
+2. Words go to the segment of their first bits. There, level 1 of the trie is built (sorted hashes
+   as an Elias-Fano sequence, counts, ids in order of count), and each window's words are looked up.
+3. Windows, now of ids, are cut into distinct trigrams (two tokens and what follows, nothing after an
+   end). Bounds sampled from all windows deal them out by their first two tokens, so that no segment
+   depends on how frequent a single word is; of a word whose pairs lie in several segments all of these are asked.
+4. A segment adds up its windows' counts and builds levels 2 and 3: for each node a monotone
+   pointer to its children; their ids, made one monotone sequence by starting each node's where the
+   last one's ended, so a child is found by a successor search relative to its context; 16-bit
+   logarithms of the smoothed shares and, by parent, of `left`. The levels are written to an unlinked
+   scratch file and memory-mapped, then every window's list is answered from them.
+5. A window puts the answers together: interpolation needs `share` of three tokens from one segment
+   and of two from another, so it is done where the tokens are. Sums are made text by text.
 
 Null text: empty, so the end alone. Null doc_id: learnt from, not held out. Repeated rows count as
-often as they are there. Without training documents N and V are 0. Extra columns aren't carried.
+often as they are there. A very long text is a window of its own. Without texts to learn from N and
+V are 0, and nothing is known. Empty table: empty result. Extra columns aren't carried. More than
+2^31 distinct words are an error.
 """
 
 from __future__ import annotations
 
-import uuid
+import tempfile
+from collections import defaultdict
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark import SparkFiles
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import shingles as S
-from .common import removed, shared_dir, table, written
+from .common import removed, table, written
 from .elias_fano import Sequence, pack
 
-ORDER, MIN_COUNT, DISCOUNT, WINDOW = 3, 2, 0.75, 2_000_000
+DISCOUNT, WINDOW = 0.75, 2_500_000
+#: Words of a segment of level 1, and trigrams of a segment of the levels below, of all windows, about.
+WORDS, GRAMS, SAMPLED = 1_000_000, 2_000_000, 1024
 U = np.uint64
-END = U(0x6A09E667F3BCC909)
+#: Stands for the end; holds a separator, so no word is the same.
+END, SEED = b" end", 20240601
 GRID = 3000.0  # steps of a decade
-CHUNK, PLACES = 1 << 22, 40
+ABSENT = 0xFFFF
+HEAD = "docs array<long>, learn array<boolean>, lengths array<int>, n_tokens long, n_types long, tokens binary"
 SCORES = "doc_id long, n_tokens long, n_known long, base_score double, score double"
 
 
+def bundle(*arrays: np.ndarray) -> bytes:
+    """Arrays of numbers >= 0 in one compressed run of bytes: of each its length, width and byte planes."""
+    head, planes = [len(arrays)], []
+    for x in arrays:
+        x = np.ascontiguousarray(x, "<u8")
+        width = max(1, -(-int(x.max()).bit_length() // 8)) if len(x) else 1
+        head += [len(x), width]
+        planes.append(np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes())
+    raw = b"".join(planes)
+    return np.array(head, "<u8").tobytes() + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def unbundle(raw: bytes) -> list[np.ndarray]:
+    """The arrays of bundle(), as 64-bit integers."""
+    n = int.from_bytes(raw[:8], "little")
+    head = np.frombuffer(raw, "<u8", 1 + 2 * n)[1:].astype(int).reshape(-1, 2)
+    flat = np.frombuffer(pa.decompress(raw[8 * (1 + 2 * n) :], decompressed_size=int(head.prod(axis=1).sum()), codec="zstd", asbytes=True), np.uint8)
+    out, at = [], 0
+    for size, width in head.tolist():
+        wide = np.zeros((size, 8), np.uint8)
+        wide[:, :width] = flat[at : at + size * width].reshape(width, size).T
+        out.append(wide.reshape(-1).view("<i8"))
+        at += size * width
+    return out
+
+
+def steps(values: np.ndarray, runs: np.ndarray) -> np.ndarray:
+    """Differences within runs of sorted numbers; the first of a run as it is."""
+    out = values.copy()
+    out[1:] -= values[:-1]
+    first = (np.cumsum(runs) - runs)[runs > 0]
+    out[first] = values[first]
+    return out
+
+
+def unsteps(out: np.ndarray, runs: np.ndarray) -> np.ndarray:
+    total = np.cumsum(out)
+    runs = runs[runs > 0]
+    first = np.cumsum(runs) - runs
+    return total - np.repeat(total[first] - out[first], runs)
+
+
 def quantised(p: np.ndarray) -> np.ndarray:
-    return np.clip(np.rint(-np.log10(np.maximum(p, 1e-21)) * GRID), 0, 65535).astype(np.uint16)
+    return np.clip(np.rint(-np.log10(np.maximum(p, 1e-21)) * GRID), 0, ABSENT - 1).astype(np.uint16)
+
+
+def value(q: np.ndarray, absent: float) -> np.ndarray:
+    return np.where(q == ABSENT, absent, 10.0 ** (q / -GRID))
 
 
 def padded(x: np.ndarray) -> np.ndarray:
@@ -54,340 +116,405 @@ def padded(x: np.ndarray) -> np.ndarray:
     return raw
 
 
-def numbers(x: np.ndarray) -> np.ndarray:
-    """Counts in four bytes each, or in eight where one needs them; with a word in front that says which."""
-    width = 4 if not len(x) or int(x.max()) < 2**32 else 8
-    return np.concatenate([np.array([width, len(x)], U), padded(x.astype(f"<u{width}"))])
-
-
-def read_numbers(words: np.ndarray, at: int) -> tuple[np.ndarray, int]:
-    """(counts at `at`, where they end)."""
-    width, n = int(words[at]), int(words[at + 1])
-    end = at + 2 - (-width * n // 8)
-    return words[at + 2 : end].view(f"<u{width}")[:n], end
+def mapped(words: np.ndarray) -> np.ndarray:
+    """words in an unlinked scratch file, memory-mapped: pages hold them, not the heap, and nothing stays behind."""
+    with tempfile.TemporaryFile() as f:
+        words.tofile(f)
+        f.flush()
+        return np.memmap(f, U, "r", shape=words.shape) if len(words) else words
 
 
 class Words:
-    """A segment of level 1: hashes (without the segment's own top bits) and counts."""
+    """A segment of level 1: sorted hashes (first 64 bits, without the segment's own), 16 more bits of each, and ids."""
 
     @staticmethod
-    def build(hashes: np.ndarray, counts: np.ndarray, bits: int) -> np.ndarray:
-        rest = hashes << U(bits) >> U(bits)
-        order = np.argsort(rest)
-        return np.concatenate([pack(rest[order], (1 << (64 - bits)) - 1), numbers(counts[order])])
+    def build(rest: np.ndarray, more: np.ndarray, ids: np.ndarray, bits: int) -> np.ndarray:
+        return np.concatenate([pack(rest, (1 << (64 - bits)) - 1), ids.astype(U), padded(more)])
 
     def __init__(self, words: np.ndarray) -> None:
-        self.hashes = Sequence(words)
-        self.n = self.hashes.n
-        self.counts, _ = read_numbers(words, self.hashes.end)
+        self.rest = Sequence(words)
+        n = self.rest.n
+        self.ids = words[self.rest.end : self.rest.end + n].view(np.int64)
+        self.more = words[self.rest.end + n :].view(np.uint16)[:n]
+
+    def find(self, rest: np.ndarray, more: np.ndarray) -> np.ndarray:
+        """Index of each hash, or -1. Hashes may share their first bits, so a few steps may follow."""
+        at = self.rest.find(rest)
+        while self.rest.n and len(wrong := np.flatnonzero((at >= 0) & (self.more[np.maximum(at, 0)] != more))):
+            nxt = at[wrong] + 1
+            inside = np.minimum(nxt, self.rest.n - 1)
+            at[wrong] = np.where((nxt < self.rest.n) & (self.rest.get(inside) == rest[wrong]), nxt, -1)
+        return at
 
 
 class Children:
-    """A segment of a level from 2 on; `left` is by parent, all else by child."""
+    """A level from 2 on; `left` is by parent, all else by child."""
 
     @staticmethod
-    def build(n_parents: int, parents: np.ndarray, ids: np.ndarray, counts: np.ndarray, p: np.ndarray, left: np.ndarray) -> np.ndarray:
+    def build(n_parents: int, parents: np.ndarray, ids: np.ndarray, p: np.ndarray, left: np.ndarray) -> np.ndarray:
         """Of children sorted by (parent, id)."""
-        n = len(ids)
         pointers = np.searchsorted(parents, np.arange(n_parents + 1))
-        last = np.flatnonzero(np.append(parents[1:] != parents[:-1], True))
+        last = np.flatnonzero(np.append(parents[1:] != parents[:-1], True)) if len(parents) else np.zeros(0, np.int64)
         base = np.append(0, np.cumsum(ids[last] + 1))[np.searchsorted(parents[last], parents)]
         relative = base + ids
-        head = np.array([n_parents], U)
-        return np.concatenate([head, pack(pointers, n), pack(relative, int(relative[-1])), numbers(counts), padded(quantised(p)), padded(quantised(left))])
+        top = int(relative[-1]) if len(relative) else 0
+        return np.concatenate([np.array([n_parents, len(left)], U), pack(pointers, len(ids)), pack(relative, top), padded(quantised(p)), padded(quantised(left))])
 
-    def __init__(self, words: np.ndarray) -> None:
-        self.n_parents = int(words[0])
-        self.pointers = Sequence(words, 1)
+    def __init__(self, words: np.ndarray, at: int = 0) -> None:
+        self.n_parents, n_left = int(words[at]), int(words[at + 1])
+        self.pointers = Sequence(words, at + 2)
         self.ids = Sequence(words, self.pointers.end)
-        self.n = n = self.ids.n
-        self.counts, at = read_numbers(words, self.ids.end)
-        size = -(-2 * n // 8)
-        self.p = words[at : at + size].view(np.uint16)[:n]
-        self.left = words[at + size :].view(np.uint16)[: self.n_parents]
-
-    def _ranges(self, parents: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of each parent: its children's first index and end, and what its ids are relative to."""
-        begin = self.pointers.get(parents).astype(np.int64)
-        end = self.pointers.get(parents + 1).astype(np.int64)
-        return begin, end, np.where(begin > 0, self.ids.get(np.maximum(begin - 1, 0)) + U(1), U(0))
-
-    def find(self, parent: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """Index of the child `word` of each parent, or -1."""
-        some, back = np.unique(parent, return_inverse=True)
-        begin, end, base = (x[back] for x in self._ranges(some))
-        found = np.full(len(parent), -1, np.int64)
-        live = np.flatnonzero(end > begin)
-        at = self.ids.find(base[live] + word[live].astype(U))
-        found[live] = np.where((at >= begin[live]) & (at < end[live]), at, -1)
+        self.n, at = self.ids.n, self.ids.end
+        size = -(-2 * self.n // 8)
+        self.p = words[at : at + size].view(np.uint16)[: self.n]
+        self.end = at + size + -(-2 * n_left // 8)
+        self.left = words[at + size : self.end].view(np.uint16)[:n_left]
+
+    def range(self, parents: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The first index and the end of each parent's children."""
+        return self.pointers.get(parents).astype(np.int64), self.pointers.get(parents + 1).astype(np.int64)
+
+    def find(self, parent: np.ndarray, runs: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Index of each child, or -1; of each parent (-1: none) as many ids as its run is long."""
+        found = np.full(len(ids), -1, np.int64)
+        some = np.flatnonzero(parent >= 0)
+        if not len(some):
+            return found
+        lo, hi, base = np.zeros(len(parent), np.int64), np.zeros(len(parent), np.int64), np.zeros(len(parent), U)
+        lo[some], hi[some] = self.range(parent[some])
+        later = some[lo[some] > 0]
+        base[later] = self.ids.get(lo[later] - 1) + U(1)
+        owner = np.repeat(np.arange(len(parent)), runs)
+        live = np.flatnonzero(hi[owner] > lo[owner])
+        own = owner[live]
+        at = self.ids.find(base[own] + ids[live].astype(U))
+        found[live] = np.where((at >= lo[own]) & (at < hi[own]), at, -1)
         return found
 
-    def words_of(self, index: np.ndarray) -> np.ndarray:
-        """Word ids of children."""
-        firsts = self.pointers.get(np.arange(self.n_parents + 1)).astype(np.int64)
-        parent = np.searchsorted(firsts, index, side="right") - 1
-        return (self.ids.get(index) - self._ranges(parent)[2]).astype(np.int64)
-
 
 class Trie:
-    """The levels so far. files: for each level, its file, where each segment begins in it (in words), and its size."""
-
-    def __init__(self, bits: int, total: int, files: tuple) -> None:
-        self.bits, self.total = bits, total
-        self.levels: list[list] = []
-        self.bases: list[np.ndarray] = []
-        for level, (name, starts, sizes) in enumerate(files):
-            words = np.memmap(SparkFiles.get(name), U, "r") if starts[-1] else np.zeros(0, U)
-            kind = Children if level else Words
-            self.levels.append([kind(words[a:b]) if b > a else None for a, b in zip(starts, starts[1:], strict=False)])
-            self.bases.append(np.append(0, np.cumsum(np.asarray(sizes, np.int64))))
-        self.types = int(self.bases[0][-1]) if files else 0
-        self.scale = total + 0.5 * (self.types + 1)
-        self.end_id = int(self.words(np.array([END], U))[0][0]) if files else -1
-
-    def words(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, counts) of sorted hashes; -1 and 0 for unknown ones."""
-        ids, counts = np.full(len(hashes), -1, np.int64), np.zeros(len(hashes), np.int64)
-        cuts = np.append(np.searchsorted(hashes >> U(64 - self.bits), np.arange(1 << self.bits).astype(U)), len(hashes))
-        for s, segment in enumerate(self.levels[0]):
-            a, b = cuts[s], cuts[s + 1]
-            if segment is not None and b > a:
-                at = segment.hashes.find(hashes[a:b] << U(self.bits) >> U(self.bits))
-                ids[a:b] = np.where(at >= 0, at + self.bases[0][s], -1)
-                counts[a:b] = np.where(at >= 0, segment.counts[np.maximum(at, 0)], 0)
-        return ids, counts
-
-    def of_nodes(self, level: int, at: int, nodes: np.ndarray, what: str) -> np.ndarray:
-        """An array of level `at`, for nodes of `level` (-1: 0)."""
-        out = np.zeros(len(nodes), np.int64)
-        some, back = np.unique(nodes, return_inverse=True)
-        got = np.zeros(len(some), np.int64)
-        cuts = np.searchsorted(some, self.bases[level])
-        for s, segment in enumerate(self.levels[at]):
-            a, b = cuts[s], cuts[s + 1]
-            if segment is not None and b > a:
-                local = some[a:b] - self.bases[level][s]
-                got[a:b] = segment.words_of(local) if what == "word" else getattr(segment, what)[local]
-        out[:] = got[back]
-        return out
-
-    def children(self, level: int, parents: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(node, log10 p) of the children ids of nodes of the level before; node -1: there is none."""
-        node, p = np.full(len(parents), -1, np.int64), np.zeros(len(parents))
-        live = np.flatnonzero((parents >= 0) & (ids >= 0))
-        if not len(live):
-            return node, p
-        up, word = parents[live], ids[live]
-        if (int(up.max()) + 1) * self.types < 2**63:
-            keys, back = np.unique(up * self.types + word, return_inverse=True)
-            up, word = np.divmod(keys, self.types)
-        else:
-            order = np.lexsort((word, up))
-            up, word, back = up[order], word[order], np.argsort(order)
-        found, fp = np.full(len(up), -1, np.int64), np.zeros(len(up))
-        cuts = np.searchsorted(up, self.bases[level - 1])
-        for s, segment in enumerate(self.levels[level]):
-            a, b = cuts[s], cuts[s + 1]
-            if segment is not None and b > a:
-                at = segment.find(up[a:b] - self.bases[level - 1][s], word[a:b])
-                hit = np.flatnonzero(at >= 0)
-                found[a + hit] = at[hit] + self.bases[level][s]
-                fp[a + hit] = segment.p[at[hit]] / -GRID
-        node[live], p[live] = found[back], fp[back]
-        return node, p
-
-    def single(self, counts: np.ndarray) -> np.ndarray:
-        return np.log10((counts + 0.5) / self.scale)
-
-    def longer(self, level: int, parents: np.ndarray, ids: np.ndarray, shorter: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(node, log10 p) under contexts of the level before; shorter: log10 p under the shorter context."""
-        node, p = self.children(level, parents, ids)
-        left = self.of_nodes(level - 1, level, parents, "left") / -GRID
-        return node, np.where(node >= 0, p, left + shorter)
-
-
-@lru_cache(maxsize=2)
-def _opened(bits: int, total: int, files: tuple) -> Trie:
-    return Trie(bits, total, files)
-
-
-class Model:
-    """What tasks need to open the trie; small."""
-
-    def __init__(self, bits: int) -> None:
-        self.bits, self.total, self.files = bits, 0, ()
-
-    def trie(self) -> Trie:
-        return _opened(self.bits, self.total, self.files)
-
-
-def sequences(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes of all tokens, number of each text's): words, then END."""
-    w, doc = S.words(texts)
-    n = np.bincount(doc, minlength=len(texts)) + 1
-    out = np.full(len(w) + len(texts), END, U)
-    inside = np.ones(len(out), bool)
-    inside[np.cumsum(n) - 1] = False
-    out[inside] = w
-    return out, n
-
-
-def nodes(trie: Trie, hashes: np.ndarray, n: np.ndarray, upto: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]:
-    """(ids, counts, for each order up to `upto` the context's node of each token, log10 p by the longest context, node of the token's longest n-gram).
-
-    The n-gram of order k is a child of the n-gram of order k - 1 that ends one token before.
-    Before a text's first word stands END.
-    """
-    uniq, back = np.unique(hashes, return_inverse=True)
-    ids, counts = (x[back] for x in trie.words(uniq))
-    first = np.cumsum(n) - n
-    p = trie.single(counts)
-    node, parents = ids, []
-    for k in range(2, upto + 1):
-        before = np.empty(len(ids), np.int64)
-        before[1:] = node[:-1]
-        before[first] = trie.end_id if k == 2 else -1
-        parents.append(before)
-        if k <= len(trie.levels):
-            node, p = trie.longer(k - 1, before, ids, p)
-    return ids, counts, parents, p, node
-
-
-def counted(texts: DataFrame, model: Model | None, order: int, fewest: int = MIN_COUNT) -> DataFrame:
-    """(seg, parent, word, n): the training n-grams of an order, counted in windows of WINDOW tokens and added up.
-
-    Of order 1, word is the hash and parent 0. Else parent is the context's segment (from bit PLACES
-    on) and place in it. Longer n-grams are counted if they may be kept: a pair's words are frequent
-    enough; of a longer one the context and the last tokens are in the trie.
-    """
+    """A segment of levels 2 and 3: first tokens, their children (second tokens), and the children of those."""
 
-    def keys(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        hashes, n = sequences(raw)
-        if order == 1:
-            return np.zeros(len(hashes), np.int64), hashes.view(np.int64)
-        trie = model.trie()
-        ids, counts, parents, _, node = nodes(trie, hashes, n, order)
-        fine = (parents[-1] >= 0) & (counts >= fewest) & (node >= 0)
-        if order == 2:
-            fine[1:] &= counts[:-1] >= fewest
-        parent, bases = parents[-1][fine], trie.bases[order - 2]
-        seg = np.searchsorted(bases, parent, side="right") - 1
-        return (seg << PLACES) + parent - bases[seg], ids[fine]
+    @staticmethod
+    def build(pairs: np.ndarray, pair: np.ndarray, third: np.ndarray, counts: np.ndarray, firsts: np.ndarray, first_counts: np.ndarray) -> np.ndarray:
+        """Of sorted distinct pairs (first << 32 | second), and triples sorted by (pair's index, third)."""
+        a = pairs >> 32
+        tops, parent = np.unique(a, return_inverse=True)
+        n = np.bincount(pair, counts, len(pairs))
+        of_first = first_counts[np.searchsorted(firsts, tops)]
+        two = Children.build(len(tops), parent, pairs & 0xFFFFFFFF, (n - DISCOUNT) / of_first[parent], np.zeros(0))
+        left = DISCOUNT * np.bincount(pair, minlength=len(pairs)) / n
+        three = Children.build(len(pairs), pair, third, (counts - DISCOUNT) / n[pair], left)
+        return np.concatenate([pack(tops, int(tops[-1]) if len(tops) else 0), two, three])
+
+    def __init__(self, words: np.ndarray) -> None:
+        self.tops = Sequence(words)
+        self.two = Children(words, self.tops.end)
+        self.three = Children(words, self.two.end)
+
+    def answers(self, firsts: np.ndarray, first_runs: np.ndarray, seconds: np.ndarray, second_runs: np.ndarray, thirds: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(distinct next tokens of each first; share of each second; `left` after each second; share of each third)."""
+        top = self.tops.find(firsts.astype(U))
+        nexts = np.zeros(len(firsts), np.int64)
+        live = np.flatnonzero(top >= 0)
+        lo, hi = self.two.range(top[live]) if len(live) else (np.zeros(0, np.int64),) * 2
+        nexts[live] = hi - lo
+        node = self.two.find(top, first_runs, seconds)
+        leaf = self.three.find(node, second_runs, thirds)
+        take = lambda values, at: np.where(at >= 0, values[np.maximum(at, 0)], ABSENT) if len(values) else np.full(len(at), ABSENT)
+        return nexts, take(self.two.p, node), take(self.three.left, node), take(self.three.p, leaf)
+
+
+def tokenised(docs: DataFrame) -> DataFrame:
+    """Windows of docs (doc_id, text, learn): HEAD, with tokens as numbers of the window's words; the words' hashes, sorted; counts to learn; order.
+
+    order: the words' numbers in order of their hashes.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        def start() -> tuple[defaultdict[bytes, int], list[int | None], list[bool], list[np.ndarray]]:
+            number: defaultdict[bytes, int] = defaultdict()
+            number.default_factory = number.__len__
+            number[END]
+            return number, [], [], []
+
+        def close() -> pa.RecordBatch:
+            tokens = np.concatenate(parts)
+            lengths = np.fromiter(map(len, parts), np.int32, len(parts))
+            raw = np.frombuffer(b"".join([xxhash.xxh3_128_digest(w, SEED) for w in number]), np.uint8).reshape(-1, 16)
+            first, more = raw[:, :8].copy().view(">u8").reshape(-1).astype(U), raw[:, 8:10].copy().view(">u2").reshape(-1).astype(np.uint16)
+            order = np.lexsort((more, first))
+            counts = np.bincount(tokens[np.repeat(np.array(learn, bool), lengths)], minlength=len(number))
+            cols = (
+                pa.array([docs], pa.list_(pa.int64())), pa.array([learn], pa.list_(pa.bool_())), pa.array([lengths], pa.list_(pa.int32())),
+                pa.array([len(tokens)], pa.int64()), pa.array([len(number)], pa.int64()), pa.array([bundle(tokens)]), pa.array([first[order].tobytes() + more[order].tobytes()]),
+                pa.array([bundle(counts[order])]), pa.array([bundle(order)]),
+            )
+            return pa.RecordBatch.from_arrays(list(cols), names=["docs", "learn", "lengths", "n_tokens", "n_types", "tokens", "words", "learnt", "order"])
+
+        number, docs, learn, parts = start()
         size = 0
+        for b in batches:
+            ids, flags = b.column(0).to_pylist(), b.column(2).to_pylist()
+            for at, text in enumerate(b.column(1)):
+                words = (text.as_py() or "").encode("utf-8", "surrogatepass").lower().split()
+                words.append(END)
+                parts.append(np.fromiter(map(number.__getitem__, words), np.uint32, len(words)))
+                docs.append(ids[at])
+                learn.append(bool(flags[at]))
+                size += len(words)
+                if size >= WINDOW:
+                    yield close()
+                    number, docs, learn, parts = start()
+                    size = 0
+        if parts:
+            yield close()
 
-        def report() -> pa.RecordBatch:
-            parent, word = (np.concatenate(x) for x in zip(*held, strict=True))
-            by = np.lexsort((word, parent)) if order > 1 else np.argsort(word)
-            parent, word = parent[by], word[by]
-            new = np.ones(len(word), bool)
-            new[1:] = (word[1:] != word[:-1]) | (parent[1:] != parent[:-1])
-            at = np.flatnonzero(new)
-            parent, word, n = parent[at], word[at], np.diff(np.append(at, len(word)))
-            return pa.RecordBatch.from_arrays([pa.array(parent), pa.array(word), pa.array(n)], names=["parent", "word", "n"])
+    made = docs.select("doc_id", "text", "learn").mapInArrow(run, f"{HEAD}, words binary, learnt binary, order binary")
+    return made.withColumn("win", F.monotonically_increasing_id())  # the windows are written once, so it doesn't change
+
+
+def hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = len(raw) // 10
+    return np.frombuffer(raw, U, n), np.frombuffer(raw, np.uint16, n, 8 * n)
+
+
+def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
+    """Rows of a partition by their first column; each partition was dealt one number, or a few."""
+    held = [b for b in batches if b.num_rows]
+    if held:
+        t = pa.Table.from_batches(held)
+        part = np.asarray(t.column(0))
+        for number in np.unique(part).tolist():
+            yield number, t.filter(pa.array(part == number))
 
+
+def vocabulary(windows: DataFrame, bits: int) -> DataFrame:
+    """(win, seg, named, n_types, n_tokens): ids (0: not learnt) and counts of each window's words of a segment; a row without win has the segment's totals."""
+    segments = 1 << bits
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for _, _, raw in S.blocks(b.column(0).to_pylist()):
-                held.append(keys(raw))
-                size += len(held[-1][0])
-                if size >= WINDOW:
-                    yield report()
-                    held, size = [], 0
-        if held:
-            yield report()
-
-    seg = F.shiftrightunsigned("word", 64 - model.bits) if order == 1 else F.shiftright("parent", PLACES)
-    sums = texts.mapInArrow(run, "parent long, word long, n long").groupBy("parent", "word").agg(F.sum("n").alias("n"))
-    return sums.select(seg.cast("int").alias("seg"), "parent", "word", "n")
-
-
-def build(model: Model, order: int, last: int):
-    """What makes a group of n-grams of one segment its blob."""
-
-    def run(group: pa.Table) -> pa.Table:
-        seg = group.column("seg")[0].as_py()
-        parent, word, n = (np.asarray(group.column(x)) for x in ("parent", "word", "n"))
-        if order == 1:
-            blob = Words.build(word.view(U), n, model.bits)
-        else:
-            trie = model.trie()
-            by = np.lexsort((word, parent))
-            parent, word, n = parent[by], word[by], n[by]
-            above = trie.levels[order - 2][seg]
-            local = parent & ((1 << PLACES) - 1)
-            share = (n - DISCOUNT) / above.counts[local]
-            left = np.clip(1.0 - np.bincount(local, share, above.n), 1e-9, 1.0)
-            shorter = trie.single(trie.of_nodes(0, 0, word, "counts"))
-            if order == 3:  # under the last word of the context alone
-                shorter = trie.longer(1, trie.of_nodes(1, 1, local + trie.bases[1][seg], "word"), word, shorter)[1]
-            held = n if order < last else n[:0]  # counts are for the level below
-            blob = Children.build(above.n, local, word, held, share + left[local] * 10.0**shorter, left)
-        return pa.table({"seg": pa.array([seg], pa.int32()), "size": pa.array([len(n)], pa.int64()), "blob": pa.array([blob.tobytes()], pa.binary())})
-
-    return run
-
-
-def stored(blobs: DataFrame, segments: int, folder: str, level: int) -> tuple[str, tuple, tuple]:
-    """Segments (seg, size, blob) in one file of the shared folder, which all workers get: (name, starts, sizes)."""
-    sc = blobs.sparkSession.sparkContext
-    name = f"level{level}-{uuid.uuid4().hex}.ef"
-    path = sc._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
-    out = path.getFileSystem(sc._jsc.hadoopConfiguration()).create(path)
-    starts, sizes, at, seen = [0] * (segments + 1), [0] * segments, 0, -1
-    for row in blobs.orderBy("seg").toLocalIterator():  # one partition at a time
-        for s in range(seen + 1, row.seg + 1):
-            starts[s] = at
-        for i in range(0, len(row.blob), CHUNK):
-            out.write(bytearray(row.blob[i : i + CHUNK]))
-        at += len(row.blob) // 8
-        sizes[row.seg], seen = row.size, row.seg
-    out.close()
-    for s in range(seen + 1, segments + 1):
-        starts[s] = at
-    if at:
-        sc.addFile(f"{folder}/{name}")
-    return name, tuple(starts), tuple(sizes)
-
-
-def train(texts: DataFrame, order: int = ORDER, fewest: int = MIN_COUNT) -> Model:
-    """The model of texts (text), of n-grams that occur `fewest` times or more. Segments: as many as the session's shuffle partitions, as a power of two."""
-    folder = shared_dir(texts.sparkSession)
-    model = Model(max(2, (int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length()))
-    for k in range(1, order + 1):
-        grams = counted(texts, model, k, fewest)
-        grams = written(grams if k == 1 or fewest < 2 else grams.where(F.col("n") >= fewest), f"grams{k}")
-        if k == 1:
-            model.total = int(grams.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
-        blobs = written(grams.groupBy("seg").applyInArrow(build(model, k, order), "seg int, size long, blob binary"), f"blobs{k}")
-        file = stored(blobs, 1 << model.bits, folder, k)
-        for used in (grams, blobs):
-            removed(used)
-        later = Model(model.bits)
-        later.total, later.files = model.total, (*model.files, file)
-        model = later
-    return model
-
-
-def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """SCORES of docs (doc_id, text)."""
+            for win, raw, learnt in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                (first, more), (counts,) = hashes(raw), unbundle(learnt)
+                cuts = np.append(np.searchsorted(first, np.arange(segments).astype(U) << U(64 - bits)), len(first))
+                rows = [(s, a, e) for s, (a, e) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)) if e > a]
+                cols = (
+                    pa.array([s for s, _, _ in rows], pa.int32()), pa.array([win] * len(rows), pa.int64()),
+                    pa.array([first[a:e].tobytes() + more[a:e].tobytes() for _, a, e in rows], pa.binary()), pa.array([bundle(counts[a:e]) for _, a, e in rows], pa.binary()),
+                )
+                yield pa.RecordBatch.from_arrays(list(cols), names=["seg", "win", "words", "learnt"])
+
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for seg, t in groups(batches):
+            asked = [hashes(x.as_py()) for x in t.column("words")]
+            n = np.concatenate([unbundle(x.as_py())[0] for x in t.column("learnt")])
+            first, more = (np.concatenate(x) for x in zip(*asked, strict=True))
+            order = np.lexsort((more, first))
+            first, more, n = first[order], more[order], n[order]
+            new = np.append(True, (first[1:] != first[:-1]) | (more[1:] != more[:-1]))
+            at = np.flatnonzero(new)
+            counts = np.add.reduceat(n, at)
+            at, counts = at[counts > 0], counts[counts > 0]
+            rank = np.empty(len(at), np.int64)
+            rank[np.argsort(-counts, kind="stable")] = np.arange(len(at))
+            ids = rank * segments + seg + 1
+            if len(ids) and int(ids.max()) >= 1 << 31:
+                raise OverflowError("more distinct words than ids")
+            rest = lambda x: x << U(bits) >> U(bits)
+            level = Words(mapped(Words.build(rest(first[at]), more[at], ids, bits)))
+            named = []
+            for f, m in asked:
+                found = level.find(rest(f), m)
+                known = np.maximum(found, 0)
+                named.append(bundle(*(np.where(found >= 0, x[known], 0) for x in (level.ids, counts))) if len(at) else bundle(*(np.zeros(len(f)),) * 2))
+            wins = [*t.column("win").to_pylist(), None]
+            cols = (
+                pa.array(wins, pa.int64()), pa.array([seg] * len(wins), pa.int32()), pa.array([*named, None], pa.binary()),
+                pa.array([0] * len(named) + [len(at)], pa.int64()), pa.array([0] * len(named) + [int(counts.sum())], pa.int64()),
+            )
+            yield pa.RecordBatch.from_arrays(list(cols), names=["win", "seg", "named", "n_types", "n_tokens"])
+
+    dealt = windows.select("win", "words", "learnt").mapInArrow(deal, "seg int, win long, words binary, learnt binary")
+    return dealt.repartitionById(segments, "seg").mapInArrow(look_up, "win long, seg int, named binary, n_types long, n_tokens long")
+
+
+def by_segment(t: pa.Table, column: str) -> list[list[np.ndarray]]:
+    """The arrays of a window's answers, in order of the segments."""
+    return [unbundle(t.column(column)[i].as_py()) for i in np.argsort(np.asarray(t.column("seg"))).tolist()]
+
+
+def with_ids(windows: DataFrame, names: DataFrame) -> DataFrame:
+    """Windows with tokens as ids, types (the ids there are, sorted, and their counts) and a sample of pairs."""
+
+    def run(w: pa.Table, named: pa.Table) -> pa.Table:
+        ids, counts = (np.concatenate(x) for x in zip(*by_segment(named, "named"), strict=True))
+        order = unbundle(w.column("order")[0].as_py())[0]
+        of = np.empty(len(ids), np.int64)
+        of[order] = ids
+        tokens = of[unbundle(w.column("tokens")[0].as_py())[0]]
+        known = np.argsort(ids)[np.count_nonzero(ids == 0) :]
+        pairs = (tokens[:-1] << 32 | tokens[1:])[::SAMPLED]
+        w = w.drop_columns(["tokens", "order"]).append_column("tokens", pa.array([bundle(tokens)]))
+        return w.append_column("types", pa.array([bundle(ids[known], counts[known])])).append_column("sample", pa.array([pairs], pa.list_(pa.int64())))
+
+    left = windows.select("win", "docs", "learn", "lengths", "tokens", "order")
+    right = names.where("win IS NOT NULL").select("win", "seg", "named")
+    schema = "win long, docs array<long>, learn array<boolean>, lengths array<int>, tokens binary, types binary, sample array<long>"
+    return left.groupBy("win").cogroup(right.groupBy("win")).applyInArrow(run, schema)
+
+
+class Grams:
+    """The distinct trigrams of a window, sorted, and where its tokens have theirs. Row of token i: the token before, itself, the token after (0: none, or not known)."""
+
+    def __init__(self, tokens: np.ndarray, lengths: np.ndarray, types: np.ndarray, bounds: np.ndarray) -> None:
+        n = len(tokens)
+        self.first = np.cumsum(lengths) - lengths
+        end = tokens[-1] if n else 0
+        before = np.empty(n, np.int64)
+        before[1:] = tokens[:-1]
+        before[self.first] = end
+        after = np.zeros(n, np.int64)
+        after[:-1] = tokens[1:]
+        after[self.first + lengths - 1] = 0
+        self.before = before
+        self.rows = np.flatnonzero((before > 0) & (tokens > 0))
+        self.pairs, pair = np.unique(before[self.rows] << 32 | tokens[self.rows], return_inverse=True)
+        triples, triple = np.unique(pair << 32 | after[self.rows], return_inverse=True)
+        self.third, self.of_pair = triples & 0xFFFFFFFF, triples >> 32
+        self.pair, self.triple = pair, triple
+        self.runs = np.bincount(self.of_pair, minlength=len(self.pairs))
+        # known tokens before any token, once for each segment that holds pairs of theirs anywhere
+        a = np.unique(before[before > 0])
+        lo, hi = (np.searchsorted(bounds, x, side="right") for x in (a << 32, a << 32 | 0xFFFFFFFF))
+        self.firsts = np.repeat(a, hi - lo + 1)
+        self.seg = np.repeat(lo, hi - lo + 1) + np.arange(len(self.firsts)) - np.repeat(np.cumsum(hi - lo + 1) - (hi - lo + 1), hi - lo + 1)
+        wide = np.concatenate([[0], bounds, [np.iinfo(np.int64).max]])
+        begin = np.searchsorted(self.pairs, np.maximum(self.firsts << 32, wide[self.seg]))
+        finish = np.searchsorted(self.pairs, np.minimum((self.firsts + 1) << 32, wide[self.seg + 1]))
+        self.first_runs, self.begin, self.finish = finish - begin, begin, finish
+        self.type_of_first = np.searchsorted(types, self.firsts)
+
+
+def requests(windows: DataFrame, bounds: np.ndarray) -> DataFrame:
+    """(seg, win, asked): what each window asks of a segment, with its counts to learn."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            trie = model.trie()
-            for begin, end, raw in S.blocks(b.column(1).to_pylist()):
-                hashes, n = sequences(raw)
-                _, counts, _, p, _ = nodes(trie, hashes, n, len(trie.levels))
-                first = np.cumsum(n) - n
-                base = np.add.reduceat(trie.single(counts), first)
-                known = np.add.reduceat((counts > 0).astype(np.int64), first)
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(begin, end - begin), pa.array(n.astype(np.int64)), pa.array(known), pa.array(base), pa.array(np.add.reduceat(p, first))],
-                    names=["doc_id", "n_tokens", "n_known", "base_score", "score"],
-                )
+            for i in range(b.num_rows):
+                tokens, lengths = unbundle(b.column("tokens")[i].as_py())[0], np.asarray(b.column("lengths")[i].as_py(), np.int64)
+                types, counts = unbundle(b.column("types")[i].as_py())
+                g = Grams(tokens, lengths, types, bounds)
+                learn = np.repeat(np.asarray(b.column("learn")[i].as_py(), bool), lengths)[g.rows]
+                n = np.bincount(g.triple[learn], minlength=len(g.third))
+                after = np.append(0, np.cumsum(g.runs))
+                segs, at = np.unique(g.seg, return_index=True)
+                blobs = []
+                for lo, hi in zip(at.tolist(), np.append(at, len(g.seg)).tolist()[1:], strict=True):
+                    p, q = int(g.begin[lo:hi].min()), int(g.finish[lo:hi].max())
+                    firsts, first_runs, runs = g.firsts[lo:hi], g.first_runs[lo:hi], g.runs[p:q]
+                    inside = slice(int(after[p]), int(after[q]))
+                    blobs.append(
+                        bundle(
+                            np.append(firsts[:1], np.diff(firsts)), counts[g.type_of_first[lo:hi]], first_runs, steps(g.pairs[p:q] & 0xFFFFFFFF, first_runs),
+                            runs, steps(g.third[inside], runs), n[inside],
+                        )
+                    )
+                win = b.column("win")[i].as_py()
+                yield pa.RecordBatch.from_arrays([pa.array(segs, pa.int32()), pa.array([win] * len(segs), pa.int64()), pa.array(blobs, pa.binary())], names=["seg", "win", "asked"])
+
+    return windows.select("win", "learn", "lengths", "tokens", "types").mapInArrow(run, "seg int, win long, asked binary")
+
+
+def read_request(raw: bytes) -> tuple[np.ndarray, ...]:
+    """(firsts, their counts, their runs, seconds, their runs, thirds, counts to learn)."""
+    firsts, counts, first_runs, seconds, runs, thirds, n = unbundle(raw)
+    return np.cumsum(firsts), counts, first_runs, unsteps(seconds, first_runs), runs, unsteps(thirds, runs), n
+
+
+def segment(asked: list[tuple[np.ndarray, ...]]) -> np.ndarray:
+    """The segment of the trie that the windows' requests make together."""
+    firsts, at = np.unique(np.concatenate([x[0] for x in asked]), return_index=True)
+    counts = np.concatenate([x[1] for x in asked])[at]
+    keys = np.concatenate([np.repeat(x[0], x[2]) << 32 | x[3] for x in asked])
+    pairs, pair = np.unique(keys, return_inverse=True)
+    pair = np.repeat(pair, np.concatenate([x[4] for x in asked]))
+    triples, of = np.unique(pair << 32 | np.concatenate([x[5] for x in asked]), return_inverse=True)
+    n = np.bincount(of, np.concatenate([x[6] for x in asked]), len(triples))
+    triples, n = triples[n > 0], n[n > 0]
+    learnt, pair = np.unique(triples >> 32, return_inverse=True)
+    return Trie.build(pairs[learnt], pair, triples & 0xFFFFFFFF, n, firsts, counts)
+
+
+def answered(asked: DataFrame, segments: int) -> DataFrame:
+    """(win, seg, found): the answers to every request."""
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCORES)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for seg, t in groups(batches):
+            lists = [read_request(x.as_py()) for x in t.column("asked")]
+            trie = Trie(mapped(segment(lists)))
+            found = [bundle(*trie.answers(a, a_runs, b, b_runs, c)) for a, _, a_runs, b, b_runs, c, _ in lists]
+            yield pa.RecordBatch.from_arrays([t.column("win").combine_chunks(), pa.array([seg] * len(found), pa.int32()), pa.array(found, pa.binary())], names=["win", "seg", "found"])
+
+    return asked.repartitionById(segments, "seg").mapInArrow(run, "win long, seg int, found binary")
+
+
+def interpolated(windows: DataFrame, answers: DataFrame, bounds: np.ndarray, total: int, types_learnt: int) -> DataFrame:
+    """SCORES of the windows' texts."""
+    scale = total + 0.5 * (types_learnt + 1)
+
+    def run(w: pa.Table, answers: pa.Table) -> pa.Table:
+        tokens, lengths = unbundle(w.column("tokens")[0].as_py())[0], np.asarray(w.column("lengths")[0].as_py(), np.int64)
+        types, counts = unbundle(w.column("types")[0].as_py())
+        g = Grams(tokens, lengths, types, bounds)
+        place = np.searchsorted(types, tokens)
+        n = np.where(tokens > 0, np.append(counts, 0)[place], 0)
+        single = np.log10((n + 0.5) / scale)
+        p = (n + 0.5) / scale
+        if answers.num_rows:
+            nexts, two, left, three = (np.concatenate(x) for x in zip(*by_segment(answers, "found"), strict=True))
+            distinct = np.bincount(g.type_of_first, nexts, len(types))
+            back = DISCOUNT * distinct / counts
+            known = g.before > 0
+            weight = np.where(known, np.append(back, 1.0)[np.searchsorted(types, g.before)], 1.0)
+            share = np.zeros(len(tokens))
+            share[g.rows] = value(two[g.pair], 0.0)
+            p = share + weight * p
+            # the row of the token before has the pair before this token, and the two with it
+            share, weight = np.zeros(len(tokens)), np.ones(len(tokens))
+            share[g.rows], weight[g.rows] = value(three[g.triple], 0.0), value(left[g.pair], 1.0)
+            later = np.ones(len(tokens), bool)
+            later[g.first] = False
+            later = np.flatnonzero(later)
+            p[later] = share[later - 1] + weight[later - 1] * p[later]
+        sums = lambda x: np.add.reduceat(x, g.first)
+        docs = w.column("docs").combine_chunks().flatten()
+        return pa.table(
+            [docs, pa.array(lengths), pa.array(sums((n > 0).astype(np.int64))), pa.array(sums(single)), pa.array(sums(np.log10(p)))],
+            names=["doc_id", "n_tokens", "n_known", "base_score", "score"],
+        )
+
+    left = windows.select("win", "docs", "lengths", "tokens", "types")
+    return left.groupBy("win").cogroup(answers.groupBy("win")).applyInArrow(run, SCORES)
+
+
+def score(docs: DataFrame, learn: Column) -> tuple[DataFrame, int, int]:
+    """(SCORES of docs (doc_id, text), N, V) by the model of the documents that `learn` picks. Other texts are scored by adding them with learn false."""
+    spark = docs.sparkSession
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    read = written(tokenised(docs.select("doc_id", "text", F.coalesce(learn, F.lit(False)).alias("learn"))), "read")
+    n_tokens, n_types = read.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.coalesce(F.sum("n_types"), F.lit(0))).first()
+    names = written(vocabulary(read, max(1, (max(partitions, n_types // WORDS) - 1).bit_length())), "names")
+    types, total = names.agg(F.coalesce(F.sum("n_types"), F.lit(0)), F.coalesce(F.sum("n_tokens"), F.lit(0))).first()
+    windows = written(with_ids(read, names), "windows")
+    removed(read)
+    removed(names)
+    segments = max(partitions, n_tokens // GRAMS)
+    sample = windows.select(F.explode(F.col("sample").cast("array<double>")).alias("key"))
+    cuts = sample.approxQuantile("key", [i / segments for i in range(1, segments)], 0.25 / segments) if n_tokens else []
+    bounds = np.unique(np.asarray(cuts, np.float64).astype(np.int64))
+    answers = answered(requests(windows, bounds), len(bounds) + 1)
+    return interpolated(windows, answers, bounds, total, types), total, types
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -395,8 +522,5 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    model = train(docs.where(~held_out()).select("text"), fewest=1)
-    return scored(docs, model).select(
-        "doc_id", held_out().alias("held_out"), "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score"
-    )
+    scores, total, _ = score(table(spark, sf_dir, "documents"), ~held_out())
+    return scores.select("doc_id", held_out().alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
