@@ -11,13 +11,13 @@ from __future__ import annotations
 import numpy as np
 
 U = np.uint64
-ONES = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 #: PLACE[byte, j]: place of the j-th set bit of a byte.
 PLACE = np.zeros((256, 8), np.uint8)
 for _b in range(256):
     for _j, _p in enumerate(p for p in range(8) if _b >> p & 1):
         PLACE[_b, _j] = _p
 HEAD = 4
+EACH, TOPS = U(0x0101010101010101), U(0x8080808080808080)  # a one, and the top bit, in every byte
 
 
 def pack(values: np.ndarray, top: int) -> np.ndarray:
@@ -29,7 +29,7 @@ def pack(values: np.ndarray, top: int) -> np.ndarray:
     high[(values >> U(low)).astype(np.int64) + np.arange(n)] = True
     bits = np.packbits(high, bitorder="little").view(U)
     before = np.zeros(len(bits) + 1, np.int64)
-    np.cumsum(ONES[bits.view(np.uint8).reshape(-1, 8)].sum(axis=1), out=before[1:])
+    np.cumsum(np.bitwise_count(bits), out=before[1:])
     parts = []
     for at in range(0, n, 1 << 16):
         part = values[at : at + (1 << 16)]
@@ -55,12 +55,14 @@ class Sequence:
 
     @staticmethod
     def _in_word(words: np.ndarray, j: np.ndarray) -> np.ndarray:
-        """Place of the j-th set bit of each word."""
-        bytes_ = np.ascontiguousarray(words).view(np.uint8).reshape(-1, 8)
-        sums = np.cumsum(ONES[bytes_], axis=1, dtype=np.int64)
-        k = (sums <= j[:, None]).sum(axis=1)
-        rows = np.arange(len(words))
-        return k * 8 + PLACE[bytes_[rows, k], j - np.where(k > 0, sums[rows, k - 1], 0)]
+        """Place of the j-th set bit of each word: its byte by the bytes' running counts, side by side in one word; then by table."""
+        x = words - ((words >> U(1)) & U(0x5555555555555555))
+        x = (x & U(0x3333333333333333)) + ((x >> U(2)) & U(0x3333333333333333))
+        sums = ((x + (x >> U(4))) & U(0x0F0F0F0F0F0F0F0F)) * EACH  # byte k: ones in bytes 0 to k
+        j = j.astype(U)
+        k = np.bitwise_count(((j * EACH | TOPS) - sums) & TOPS).astype(U) << U(3)  # bytes whose running count is j or less
+        j -= (sums << U(8)) >> k & U(0xFF)
+        return (k + PLACE[words >> k & U(0xFF), j]).astype(np.int64)
 
     def _select1(self, i: np.ndarray) -> np.ndarray:
         w = np.searchsorted(self.before, i, side="right") - 1
@@ -79,28 +81,49 @@ class Sequence:
         """Numbers at i (0 <= i < n)."""
         return ((self._select1(i) - i).astype(U) << U(self.low)) | self._low(i)
 
-    def successor(self, x: np.ndarray) -> np.ndarray:
-        """Index of the first number that is x or more, as far as it shares x's high part; else of the next one."""
+    def _bucket(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(first index, end) of the numbers that share x's high part."""
         h = (x >> U(self.low)).astype(np.int64)
-        most = self.zeros[-1] - 1
+        most = int(self.zeros[-1]) - 1
         past = h > most
         h = np.minimum(h, most)
-        begin = np.where(h > 0, self._select0(np.maximum(h - 1, 0)) - np.maximum(h - 1, 0), 0)
-        end = self._select0(h) - h
-        low = x & self.mask
-        while True:
-            live = np.flatnonzero(begin < end)
-            if not len(live):
-                return np.where(past, self.n, begin)
-            mid = (begin[live] + end[live]) >> 1
+        at = np.where(h > 0, self._select0(np.maximum(h - 1, 0)) + 1, 0)  # where the high part's ones begin
+        w, s = at >> 6, at & 63
+        w = np.minimum(w, len(self.bits) - 1)
+        rest = self.bits[w] >> s.astype(U)
+        ones = np.bitwise_count((rest ^ (rest + U(1))) >> U(1)).astype(np.int64)
+        begin = at - h
+        end = begin + ones
+        over = np.flatnonzero((s + ones >= 63) | (at >> 6 > w))  # the run goes on in the next word
+        if len(over):
+            end[over] = self._select0(h[over]) - h[over]
+        begin[past] = end[past] = self.n
+        return begin, end
+
+    def _within(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        begin, end = self._bucket(x)
+        low, last = x & self.mask, end.copy()
+        live = np.flatnonzero(begin < end)
+        while len(live):
+            lo, hi = begin[live], end[live]
+            mid = (lo + hi) >> 1
             less = self._low(mid) < low[live]
-            begin[live] = np.where(less, mid + 1, begin[live])
-            end[live] = np.where(less, end[live], mid)
+            lo, hi = np.where(less, mid + 1, lo), np.where(less, hi, mid)
+            begin[live], end[live] = lo, hi
+            live = live[lo < hi]
+        return begin, last
+
+    def successor(self, x: np.ndarray) -> np.ndarray:
+        """Index of the first number that is x or more, as far as it shares x's high part; else of the next one."""
+        return self._within(x)[0]
 
     def find(self, x: np.ndarray) -> np.ndarray:
-        """Index of x, or -1."""
+        """Index of x, or -1: its successor, if that is x itself."""
         if not self.n or not len(x):
             return np.full(len(x), -1, np.int64)
-        at = self.successor(x)
-        inside = np.minimum(at, self.n - 1)
-        return np.where((at < self.n) & (self.get(inside) == x), at, -1)
+        at, last = self._within(x)
+        found = np.full(len(x), -1, np.int64)
+        live = np.flatnonzero(at < last)
+        same = live[self._low(at[live]) == x[live] & self.mask]
+        found[same] = at[same]
+        return found

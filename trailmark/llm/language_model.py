@@ -47,9 +47,9 @@ from pyspark.sql import functions as F
 from .common import removed, table, written
 from .elias_fano import Sequence, pack
 
-DISCOUNT, WINDOW = 0.75, 2_500_000
+DISCOUNT, WINDOW = 0.75, 1_500_000
 #: Words of a segment of level 1, and trigrams of a segment of the levels below, of all windows, about.
-WORDS, GRAMS, SAMPLED = 1_000_000, 2_000_000, 1024
+WORDS, GRAMS, SAMPLED = 1_000_000, 1_500_000, 1024
 U = np.uint64
 #: Stands for the end; holds a separator, so no word is the same.
 END, SEED = b" end", 20240601
@@ -121,7 +121,7 @@ def mapped(words: np.ndarray) -> np.ndarray:
     with tempfile.TemporaryFile() as f:
         words.tofile(f)
         f.flush()
-        return np.memmap(f, U, "r", shape=words.shape) if len(words) else words
+        return np.memmap(f, U, "r", shape=words.shape).view(np.ndarray) if len(words) else words
 
 
 class Words:
