@@ -28,7 +28,7 @@ HEADER = struct.Struct("<4sHIQIII")
 SCALE_BITS, WEIGHT_BITS = 20, 6
 SCALE, WEIGHTS = 1 << SCALE_BITS, 1 << WEIGHT_BITS
 TOTAL_BITS = SCALE_BITS + WEIGHT_BITS
-LANES, LEAST_STEPS = 2048, 128
+LANES, LEAST_STEPS = 4096, 128
 SURE, SLOTS = 7, 1 << 18
 LOW32, U = np.uint64(0xFFFFFFFF), np.uint64
 W32, SHIFT, EDGE = U(32), U(TOTAL_BITS), U(1 << 32)

@@ -1,14 +1,16 @@
 """Operator 4: token ids written as range-coded shards, and read back.
 
 Documents are encoded, an end id is appended to each, and shards hold consecutive ranges of doc_id:
-the ranges come from quantiles of the ids alone, so no text is read for them. A shard is a sequence
+the ranges come from quantiles of the ids alone, so no text is read for them; an id (or the missing
+one) that holds more rows than a shard is dealt out over several by a checksum of its texts' ids.
+Each shard is one task's. A shard is a sequence
 of blocks of whole documents, at least BLOCK ids each but the last (see range_coder). The file
 format is a Parquet table with a row for each block: shard, block, n_ids, the documents' ids and
 lengths, and the coded payload. Blocks stand alone: one is decoded without any other, and a lost
 task's blocks are simply made again.
 
 Null text: the end id alone. Null doc_id: first. Ties and repeated rows: documents of the same id
-stand side by side, ordered by their ids. Empty table: no blocks. Extra columns aren't stored.
+stand side by side, ordered by checksum. Empty table: no blocks. Extra columns aren't stored.
 """
 
 from __future__ import annotations
@@ -25,18 +27,19 @@ from . import range_coder
 from .common import shared_dir, table
 from .word_ids import crc32, vocabulary, word_ids
 
-VOCABULARY, END, BLOCK = "word_bpe_49k.json", 1, 1 << 19
+VOCABULARY, END, BLOCK = "word_bpe_49k.json", 1, 1 << 20
+LEAST = -(1 << 63)
 BLOCKS = "shard int, block long, n_ids long, doc_ids array<long>, lengths array<long>, payload binary"
 ROWS = "shard int, block long, place long, doc_id long, front long, n_tokens long, ids_crc32 long"
 
 
 def encoded(docs: DataFrame, path: str, end: int, shards: int) -> DataFrame:
-    """(shard, doc_id, ids) of docs (doc_id, text); ids as little-endian unsigned 16 or 32 bits."""
+    """(shard, doc_id, tie, ids) of docs (doc_id, text); ids as little-endian unsigned 16 or 32 bits, tie: their crc32."""
     tail = struct.pack("<I", end)
     cuts: list[float] = []
     if shards > 1:
-        known = docs.select("doc_id").where(F.col("doc_id").isNotNull())
-        cuts = sorted(set(known.approxQuantile("doc_id", [i / shards for i in range(1, shards)], 0.2 / shards)))
+        known = docs.select(F.coalesce("doc_id", F.lit(LEAST)).cast("double").alias("doc_id"))
+        cuts = sorted(known.approxQuantile("doc_id", [i / shards for i in range(1, shards)], 0.2 / shards))
     bounds = np.asarray(cuts, np.float64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -49,14 +52,18 @@ def encoded(docs: DataFrame, path: str, end: int, shards: int) -> DataFrame:
                 if small:
                     raws = [np.frombuffer(x, "<u4").astype("<u2").tobytes() for x in raws]
                 ids = part.column(0)
-                of = np.searchsorted(bounds, ids.cast(pa.float64(), safe=False).fill_null(-np.inf).to_numpy(zero_copy_only=False), side="right")
-                yield pa.RecordBatch.from_arrays([pa.array(of, pa.int32()), ids, pa.array(raws, pa.binary())], names=["shard", "doc_id", "ids"])
+                tie = np.fromiter(map(crc32, raws), np.int64, len(raws))
+                # an id that several bounds name holds that many shards' worth of rows: its rows are dealt out by tie
+                key = ids.fill_null(LEAST).cast(pa.float64(), safe=False).to_numpy(zero_copy_only=False)
+                low, high = np.searchsorted(bounds, key), np.searchsorted(bounds, key, side="right")
+                of = low + (tie * (high - low + 1) >> 32)
+                yield pa.RecordBatch.from_arrays([pa.array(of, pa.int32()), ids, pa.array(tie), pa.array(raws, pa.binary())], names=["shard", "doc_id", "tie", "ids"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "shard int, doc_id long, ids binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "shard int, doc_id long, tie long, ids binary")
 
 
 def blocks(rows: DataFrame, alphabet: int, size: int = BLOCK) -> DataFrame:
-    """BLOCKS of rows (shard, doc_id, ids) that are sorted by shard and doc_id within partitions."""
+    """BLOCKS of rows (shard, doc_id, ids) that are sorted by shard, doc_id and tie within partitions."""
     kind = "<u2" if alphabet <= 1 << 16 else "<u4"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,8 +104,8 @@ def write(docs: DataFrame, folder: str, path: str | None = None, end: int = END,
     """docs (doc_id, text) into folder, as many shards as the session has shuffle partitions."""
     path = path or vocabulary(VOCABULARY)
     shards = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = encoded(docs, path, end, shards).repartition(shards, "shard").sortWithinPartitions("shard", "doc_id", "ids")
-    blocks(rows, word_ids(path).size, size).write.parquet(folder)
+    rows = encoded(docs, path, end, shards).repartitionById(shards, "shard").sortWithinPartitions("shard", "doc_id", "tie", "ids")
+    blocks(rows.drop("tie"), word_ids(path).size, size).write.parquet(folder)
 
 
 def read(spark: SparkSession, folder: str) -> DataFrame:

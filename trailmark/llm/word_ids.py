@@ -13,6 +13,7 @@ from __future__ import annotations
 import os
 import struct
 import zlib
+from collections.abc import Callable
 from functools import lru_cache
 
 import regex
@@ -23,7 +24,6 @@ PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 LATIN = regex.compile(r"[\x21-\x7e¡-įı-ɏ]+")  # without U+0130, which lower-cases to two
 ENDS = frozenset(".,;:!?")
 WORDS, PARTS = 1_000_000, 800_000
-CHUNK = 1 << 20
 
 
 def byte_letters() -> dict[int, int]:
@@ -47,6 +47,17 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+class Memo(dict):
+    """Values of keys, made when first asked for."""
+
+    def __init__(self, made: Callable[[str], bytes]) -> None:
+        self.made = made
+
+    def __missing__(self, key: str) -> bytes:
+        value = self[key] = self.made(key)
+        return value
+
+
 class WordIds:
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -55,8 +66,7 @@ class WordIds:
         self.library = Tokenizer.from_file(path)
         self.size = self.library.get_vocab_size()
         self.letters = byte_letters()
-        self.words: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.words, self.parts = Memo(self._word), Memo(self._piece)
 
     def _whole(self, text: str) -> bytes:
         return self.pack(self.library.encode(text, add_special_tokens=False).ids)
@@ -69,51 +79,26 @@ class WordIds:
     def pack(ids: list[int]) -> bytes:
         return struct.pack(f"<{len(ids)}I", *ids)
 
-    def _learn(self, missing: set[str]) -> None:
-        if len(self.words) + len(missing) > WORDS:
-            self.words.clear()
-        if len(self.parts) > PARTS:
-            self.parts.clear()
-        simple: dict[str, list[str]] = {}
-        rest: list[str] = []
-        for w in missing:
-            if LATIN.fullmatch(w):
-                simple[w] = pieces_of(w)
-            else:
-                rest.append(w)
+    def _word(self, word: str) -> bytes:
+        if not LATIN.fullmatch(word):
+            return self._whole(word)
         parts = self.parts
-        for ps in simple.values():
-            for p in ps:
-                if p not in parts:
-                    parts[p] = self._piece(p)
-        for w, ps in simple.items():
-            self.words[w] = parts[ps[0]] if len(ps) == 1 else b"".join([parts[p] for p in ps])
-        for w in rest:
-            self.words[w] = self._whole(w)
+        return b"".join([parts[p] for p in pieces_of(word)])
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text; null: none."""
         out: list[bytes] = []
-        at = 0
-        while at < len(texts):
-            lists: list[list[str] | bytes] = []
-            size, missing = 0, set()
-            while at < len(texts) and size < CHUNK:
-                t = texts[at] or ""
-                at += 1
-                size += len(t)
-                if "<|" in t or "\x1c" in t or "\x1d" in t or "\x1e" in t or "\x1f" in t:
-                    lists.append(self._whole(t))
-                else:
-                    lists.append(words := t.split())
-                    missing.update(words)
-            held = self.words
-            if missing := {w for w in missing if w not in held}:
-                if len(held) + len(missing) > WORDS:  # the memo starts anew: all of these words count as missing
-                    missing = {w for x in lists if isinstance(x, list) for w in x}
-                self._learn(missing)
-            get = self.words.__getitem__
-            out += [x if isinstance(x, bytes) else b"".join(map(get, x)) for x in lists]
+        get = self.words.__getitem__
+        for text in texts:
+            t = text or ""
+            if "<|" in t or "\x1c" in t or "\x1d" in t or "\x1e" in t or "\x1f" in t:
+                out.append(self._whole(t))
+                continue
+            out.append(b"".join(map(get, t.split())))
+            if len(self.words) > WORDS:
+                self.words.clear()
+            if len(self.parts) > PARTS:
+                self.parts.clear()
         return out
 
 
