@@ -29,7 +29,10 @@ SCALE_BITS, WEIGHT_BITS = 20, 6
 SCALE, WEIGHTS = 1 << SCALE_BITS, 1 << WEIGHT_BITS
 TOTAL_BITS = SCALE_BITS + WEIGHT_BITS
 LANES, LEAST_STEPS = 4096, 128
-SURE, SLOTS = 7, 1 << 18
+SURE_BITS, SLOTS = 3, 1 << 18
+SURE = (1 << SURE_BITS) - 1
+#: How the confidence changes after a wrong prediction, then after a right one, by the confidence before.
+SURER = np.concatenate([-np.minimum(np.arange(SURE + 1), 2), np.minimum(SURE - np.arange(SURE + 1), 1)])
 LOW32, U = np.uint64(0xFFFFFFFF), np.uint64
 W32, SHIFT, EDGE = U(32), U(TOTAL_BITS), U(1 << 32)
 
@@ -38,22 +41,27 @@ class CorruptBlock(ValueError):
     """A block that fails a checksum or isn't one."""
 
 
+def at(values: np.ndarray, index: np.ndarray) -> np.ndarray:
+    """values[index] of indexes known to be inside."""
+    return values.take(index, mode="clip")
+
+
 class Model:
     """What both sides know before coding a step."""
 
-    def __init__(self, alphabet: int, lanes: int) -> None:
-        self.alphabet = alphabet
-        self.counts = np.zeros(alphabet, np.int64)
+    def __init__(self, alphabet: int, lanes: int, reads: bool = False) -> None:
+        self.alphabet, self.reads = alphabet, reads
+        self.counts = np.zeros(alphabet, np.int32)
         self.seen = 0
         self.step = 0
-        self.next1 = np.full(alphabet + 1, -1, np.int64)
-        self.sure1 = np.zeros(alphabet + 1, np.int64)
-        self.next2 = np.full(SLOTS, -1, np.int64)
-        self.sure2 = np.zeros(SLOTS, np.int64)
+        # by context: (prediction, or -1) * (SURE + 1) + its confidence
+        self.next1 = np.full(alphabet + 1, -SURE - 1, np.int32)
+        self.next2 = np.full(SLOTS, -SURE - 1, np.int32)
         states = 2 * (SURE + 1) ** 2
         self.tries = np.full(states, 2, np.int64)
         self.right1 = np.ones(states, np.int64)
         self.right2 = np.ones(states, np.int64)
+        self.differ = np.arange(states) % 2 == 0  # states of predictions that differ: of two that agree the first has all the weight
         self.before1 = np.full(lanes, alphabet, np.int64)
         self.before2 = np.full(lanes, alphabet, np.int64)
         self._spread()
@@ -61,37 +69,36 @@ class Model:
     def _spread(self) -> None:
         """Order-0 frequencies: one each at least, SCALE in all."""
         free = SCALE - self.alphabet
-        f = 1 + self.counts * free // max(self.seen, 1)
+        f = 1 + self.counts.astype(np.int64) * free // max(self.seen, 1)
         self.sums = np.zeros(self.alphabet + 1, np.int64)
         np.cumsum(f, out=self.sums[1:])
         self.sums[-1] = SCALE  # the last id gets what rounding leaves
+        if self.reads:
+            self.owner = np.repeat(np.arange(self.alphabet, dtype=np.int32), np.diff(self.sums))  # of each step of SCALE
 
     def mix(self, n: int) -> tuple[np.ndarray, ...]:
         """Predictions (order 1, order 2) and weights (0, 1, 2) of the first n lanes."""
         b1, b2 = self.before1[:n], self.before2[:n]
         self.slot = (b1 * 0x9E3779B1 + b2 * 0x85EBCA6B >> 7) & (SLOTS - 1)
-        c1, c2 = self.next1[b1], self.next2[self.slot]
-        self.state = (self.sure1[b1] * (SURE + 1) + self.sure2[self.slot]) * 2 + (c1 == c2)
+        self.was1, self.was2 = at(self.next1, b1).astype(np.int64), at(self.next2, self.slot).astype(np.int64)
+        c1, c2 = self.was1 >> SURE_BITS, self.was2 >> SURE_BITS
+        self.state = ((self.was1 & SURE) << SURE_BITS | self.was2 & SURE) * 2 + (c1 == c2)
         share = WEIGHTS - 4
-        w1 = np.where(c1 >= 0, self.right1[self.state] * share // self.tries[self.state], 0)
-        w2 = np.where(c2 >= 0, self.right2[self.state] * share // self.tries[self.state], 0)
-        w2 = np.where(c1 == c2, 0, np.minimum(w2, share - w1))
+        w1 = at(self.right1 * share // self.tries, self.state) * (c1 >= 0)
+        w2 = np.minimum(at(self.right2 * share // self.tries * self.differ, self.state) * (c2 >= 0), share - w1)
         return c1, c2, WEIGHTS - w1 - w2, w1, w2
 
-    def learn(self, ids: np.ndarray, c1: np.ndarray, c2: np.ndarray) -> None:
+    def learn(self, ids: np.ndarray, hit1: np.ndarray, hit2: np.ndarray) -> None:
         n = len(ids)
-        b1, slot = self.before1[:n].copy(), self.slot
-        hit1, hit2 = c1 == ids, c2 == ids
-        size = len(self.tries)
+        b1, size = self.before1[:n], len(self.tries)
         self.tries += np.bincount(self.state, minlength=size)
-        self.right1 += np.bincount(self.state[hit1], minlength=size)
-        self.right2 += np.bincount(self.state[hit2], minlength=size)
-        for nxt, sure, at, c, hit in ((self.next1, self.sure1, b1, c1, hit1), (self.next2, self.sure2, slot, c2, hit2)):
-            s = sure[at]
-            sure[at] = np.where(hit, np.minimum(s + 1, SURE), np.maximum(s - 2, 0))  # of lanes with one context the last counts
-            new = ~hit & (s == 0)
-            nxt[at[new]] = ids[new]
-        np.add.at(self.counts, ids, 1)
+        self.right1 += np.bincount(self.state + size * hit1, minlength=2 * size)[size:]
+        self.right2 += np.bincount(self.state + size * hit2, minlength=2 * size)[size:]
+        for nxt, key, was, hit in ((self.next1, b1, self.was1, hit1), (self.next2, self.slot, self.was2, hit2)):
+            sure = was & SURE
+            held = was + at(SURER, sure + (SURE + 1) * hit)
+            nxt[key] = held + ((ids << SURE_BITS) - held) * (~hit & (sure == 0))  # of lanes with one context the last counts
+        np.add.at(self.counts, ids, np.int32(1))
         self.seen += n
         self.before2[:n] = b1
         self.before1[:n] = ids
@@ -129,9 +136,9 @@ def encode(ids: np.ndarray, alphabet: int) -> bytes:
             break
         x = grid[t, :m]
         c1, c2, w0, w1, w2 = model.mix(m)
-        begin = model.sums[x]
+        begin, hit1, hit2 = at(model.sums, x), c1 == x, c2 == x
         cum = w0 * begin + SCALE * (w1 * (c1 < x) + w2 * (c2 < x))
-        freq = w0 * (model.sums[x + 1] - begin) + SCALE * (w1 * (c1 == x) + w2 * (c2 == x))
+        freq = w0 * (at(model.sums, x + 1) - begin) + SCALE * (w1 * hit1 + w2 * hit2)
         r = span[:m] >> SHIFT
         lo = low[:m] + r * cum.astype(U)
         sp = r * freq.astype(U)
@@ -139,11 +146,11 @@ def encode(ids: np.ndarray, alphabet: int) -> bytes:
         narrow = ~settled & (sp < EDGE)
         sp = np.where(narrow, (U(0) - lo) & LOW32, sp)
         put = settled | narrow
-        out_lane.append(every[:m][put])
-        out_word.append((lo[put] >> W32).astype(np.uint32))
+        out_lane.append(np.flatnonzero(put))
+        out_word.append((at(lo, out_lane[-1]) >> W32).astype(np.uint32))
         low[:m] = np.where(put, lo << W32, lo)
         span[:m] = np.where(put, sp << W32, sp)
-        model.learn(x, c1, c2)
+        model.learn(x, hit1, hit2)
     if n:
         out_lane += [every, every]
         out_word += [(low >> W32).astype(np.uint32), (low & LOW32).astype(np.uint32)]
@@ -166,13 +173,13 @@ def decode(block: bytes) -> np.ndarray:
         return np.zeros(0, "<u4")
     steps = layout(n)[1]
     sizes = np.frombuffer(body, "<u4", lanes).astype(np.int64)
-    words = np.append(np.frombuffer(body, "<u4", offset=4 * lanes).astype(U), np.zeros(2, U))
-    at = np.cumsum(sizes) - sizes
+    words = np.append(np.frombuffer(body, "<u4", offset=4 * lanes), np.zeros(2, np.uint32))
+    place = np.cumsum(sizes) - sizes
     last = n - (lanes - 1) * steps
-    model = Model(alphabet, lanes)
+    model = Model(alphabet, lanes, True)
     low, span = np.zeros(lanes, U), np.full(lanes, 0xFFFFFFFFFFFFFFFF, U)
-    code = words[at] << W32 | words[at + 1]
-    at = at + 2
+    code = at(words, place).astype(U) << W32 | at(words, place + 1).astype(U)
+    place = place + 2
     grid = np.zeros((steps, lanes), np.int64)
     most = U((1 << TOTAL_BITS) - 1)
     for t in range(steps):
@@ -184,20 +191,21 @@ def decode(block: bytes) -> np.ndarray:
         v = np.minimum((code[:m] - low[:m]) // r, most).astype(np.int64)
         # the predictions' own weight is taken off v where their id lies below, and tells them where v is in it
         k1, k2 = np.maximum(c1, 0), np.maximum(c2, 0)
-        s1, s2 = model.sums[k1], model.sums[k2]
-        at1 = w0 * s1 + SCALE * w2 * (c2 < c1)
-        at2 = w0 * s2 + SCALE * w1 * (c1 < c2)
-        end1 = at1 + w0 * (model.sums[k1 + 1] - s1) + SCALE * (w1 + w2 * (c1 == c2))
-        end2 = at2 + w0 * (model.sums[k2 + 1] - s2) + SCALE * (w2 + w1 * (c1 == c2))
-        is1 = (w1 > 0) & (v >= at1) & (v < end1)
-        is2 = (w2 > 0) & (v >= at2) & (v < end2)
-        rest = v - SCALE * (w1 * (v >= end1) + w2 * (v >= end2))
-        x = np.where(is1, c1, np.where(is2, c2, 0))
+        both, s1, s2 = c1 == c2, at(model.sums, k1), at(model.sums, k2)
+        f1, f2 = at(model.sums, k1 + 1) - s1, at(model.sums, k2 + 1) - s2
+        mine1, mine2 = SCALE * w1, SCALE * w2
+        at1, at2 = w0 * s1 + mine2 * (c2 < c1), w0 * s2 + mine1 * (c1 < c2)
+        end1, end2 = at1 + w0 * f1 + mine1 + mine2 * both, at2 + w0 * f2 + mine2 + mine1 * both
+        is1, is2 = (w1 > 0) & (v >= at1) & (v < end1), (w2 > 0) & (v >= at2) & (v < end2)
+        x, cum, freq = np.where(is1, c1, c2), np.where(is1, at1, at2), np.where(is1, end1 - at1, end2 - at2)
         free = np.flatnonzero(~(is1 | is2))
-        x[free] = np.searchsorted(model.sums, rest[free] // w0[free], side="right") - 1
-        begin = model.sums[x]
-        cum = w0 * begin + SCALE * (w1 * (c1 < x) + w2 * (c2 < x))
-        freq = w0 * (model.sums[x + 1] - begin) + SCALE * (w1 * (c1 == x) + w2 * (c2 == x))
+        if len(free):  # an id that isn't predicted: by its share alone, or one whose prediction has no weight
+            u, w = at(v, free), at(w0, free)
+            above = at(mine1, free) * (u >= at(end1, free)) + at(mine2, free) * (u >= at(end2, free))
+            y = at(model.owner, ((u - above) / w).astype(np.int64))  # both below 2^26: the quotient is exact
+            begin = at(model.sums, y)
+            x[free], cum[free], freq[free] = y, w * begin + above, w * (at(model.sums, y + 1) - begin)
+        hit1, hit2 = c1 == x, c2 == x
         lo = low[:m] + r * cum.astype(U)
         sp = r * freq.astype(U)
         settled = (lo ^ (lo + sp)) < EDGE
@@ -205,12 +213,12 @@ def decode(block: bytes) -> np.ndarray:
         sp = np.where(narrow, (U(0) - lo) & LOW32, sp)
         put = settled | narrow
         cd = code[:m]
-        code[:m] = np.where(put, cd << W32 | words[np.minimum(at[:m], len(words) - 1)], cd)
-        at[:m] += put
+        code[:m] = np.where(put, cd << W32 | at(words, place[:m]).astype(U), cd)  # past the end: the last word, which is 0
+        place[:m] += put
         low[:m] = np.where(put, lo << W32, lo)
         span[:m] = np.where(put, sp << W32, sp)
         grid[t, :m] = x
-        model.learn(x, c1, c2)
+        model.learn(x, hit1, hit2)
     ids = grid.T.reshape(-1)[:n].astype("<u4")
     if zlib.crc32(ids.tobytes()) != crc_ids:
         raise CorruptBlock("ids differ from their checksum")

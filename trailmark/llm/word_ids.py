@@ -15,15 +15,15 @@ import struct
 import zlib
 from collections.abc import Callable
 from functools import lru_cache
+from string import punctuation
 
 import regex
 
 #: The pattern of the vocabulary file, as it applies to lower-cased text.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 #: Characters that composition (NFC) leaves alone and that lower-case one by one.
-LATIN = regex.compile(r"[\x21-\x7e¡-įı-ɏ]+")  # without U+0130, which lower-cases to two
-ENDS = frozenset(".,;:!?")
-WORDS, PARTS = 1_000_000, 800_000
+LATIN = regex.compile("[\x21-\x7e\xa1-\u012f\u0131-\u024f]+")  # without U+0130, which lower-cases to two
+WORDS, PARTS = 1_500_000, 600_000
 
 
 def byte_letters() -> dict[int, int]:
@@ -34,10 +34,9 @@ def byte_letters() -> dict[int, int]:
 
 def pieces_of(word: str) -> list[str]:
     """PIECES of a Latin word, lower-cased."""
-    if word.isalpha():
-        return [word.lower()]
-    if word[-1] in ENDS and word[:-1].isalpha():
-        return [word[:-1].lower(), word[-1]]
+    core = word.rstrip(punctuation)
+    if core.isalpha():
+        return [core.lower(), word[len(core) :]] if len(core) < len(word) else [core.lower()]
     return PIECES.findall(word.lower())
 
 
@@ -72,7 +71,7 @@ class WordIds:
         return self.pack(self.library.encode(text, add_special_tokens=False).ids)
 
     def _piece(self, piece: str) -> bytes:
-        spelled = piece.encode().decode("latin-1").translate(self.letters)
+        spelled = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
         return self.pack([x.id for x in self.library.model.tokenize(spelled)])
 
     @staticmethod
@@ -80,7 +79,7 @@ class WordIds:
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def _word(self, word: str) -> bytes:
-        if not LATIN.fullmatch(word):
+        if not (word.isascii() and word.isprintable() or LATIN.fullmatch(word)):
             return self._whole(word)
         parts = self.parts
         return b"".join([parts[p] for p in pieces_of(word)])
