@@ -365,3 +365,34 @@ def test_language_model_query_of_odd_rows(spark, tmp_path, monkeypatch):
     assert sorted(map(key, language_model.query(spark, f"file://{tmp_path}").collect()), key=str) == one
     none = language_model.score(df.limit(0), F.lit(True))
     assert none[0].count() == 0 and none[1:] == (0, 0)
+
+
+def test_shingles_of_regular_words_differ(spark):
+    a, b = thue_morse("a", "b"), thue_morse("b", "a")
+    rows = [(1, a), (2, b), (3, f"p q r {a} p q r {b}")]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (1, 1), 2: (1, 2), 3: (5, 3)}
+
+
+def jaccard(x, y, k):
+    one, two = (shingles.distinct((t or "").encode(), k) for t in (x, y))
+    return len(one & two) / len(one | two) if one and two else 0.0
+
+
+def test_kept_loses_no_text_without_a_duplicate(spark):
+    """Repeated ids with different texts, ids that are null, texts that are null or empty, a clashing column: brute force over rows."""
+    near = text(31).split()
+    near[60] = "changed"
+    rows = [
+        (7, text(31)), (7, text(32)), (8, text(33)), (8, text(33)), (None, " ".join(near)), (None, text(34)), (9, text(34).upper()), (10, None), (11, ""), (None, None),
+        (12, thue_morse("a", "b")), (13, thue_morse("b", "a")), (14, text(35, 400)), (15, text(35, 400) + " tail"),
+    ]
+    df = spark.createDataFrame([(i, t, 5) for i, t in rows], "doc_id long, text string, row int").withColumnRenamed("row", "component").repartition(3)
+    got = [(r.doc_id, r.text) for r in near_duplicates.kept(df).collect()]
+    groups = []
+    for i, t in rows:
+        joined = [g for g in groups if any(jaccard(t, u, 5) >= 0.8 for _, u in g)]
+        groups = [g for g in groups if g not in joined] + [[x for g in joined for x in g] + [(i, t)]]
+    want = [min(g, key=lambda x: (x[0] is None, x[0] or 0)) for g in groups]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert near_duplicates.kept(df.limit(0)).count() == 0

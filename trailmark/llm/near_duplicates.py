@@ -4,28 +4,33 @@ A document's set is its distinct shingles of K words, A-Z lower-cased, as 64-bit
 words the whole sequence is one shingle, without words the set is empty and linked with nothing.
 Two sets link when 100 * intersection >= PERCENT * union.
 
-1. Features (one pass for frequencies, one for features): set size, set hash, and the prefix of
-   n - ceil(PERCENT * n / 100) + 1 tokens under the first of ORDERS token orders. Linked sets share a
-   prefix token under every global order. All orders put shingles that many documents share last,
-   then go by hashes with different seeds. (Which shingles count as frequent only shapes the orders:
-   any order gives the same links. So the list of them may be bounded, and is broadcast.)
-2. Equal sets are one node, named by its smallest doc_id.
-3. Candidates share a prefix token under the first order, at places that leave enough tokens behind
+Rows are written once with a number each; sets, texts and links are by row, so rows that repeat an
+id, or have none, are never confused.
+
+1. Features (one pass for frequencies, one for features): set size, 128 bits of hash of the set, and
+   the prefix of n - ceil(PERCENT * n / 100) + 1 tokens under the first of ORDERS token orders. Linked sets
+   share a prefix token under every global order. All orders put shingles that many documents share
+   last, then go by hashes with different seeds. (Which shingles count as frequent only shapes the
+   orders: any order gives the same links. So the list of them may be bounded, and is broadcast.)
+2. Equal sets are one node, named by its smallest row.
+3. Candidates share a prefix token under the first order, have sizes near enough to each other (part of the
+   join's key, which also splits frequent tokens), and share it at places that leave enough tokens behind
    for the overlap needed: the first token that two linked sets share has such places. In a group of
    copies that differ too much, what makes them differ is rare and stands in front, so their shared
    tokens come too late; the group doesn't become all its pairs. Tokens of one node only are dropped.
    Each token's nodes are first paired with its smallest node alone, so copies in a large group meet
    a few hubs and not each other. Then all pairs whose nodes aren't yet in one component follow.
 4. Candidates must share prefix tokens under the other orders as well (intersection of the filters).
-5. Those left are verified exactly on whole texts.
+5. Those left are verified on the words of the whole texts, not on hashes.
 
-Null text: empty set. Null doc_id: the row is returned with a null component. Rows that repeat an
-id are one node if their sets are equal; if not, links of one are links of the id. Extra columns
-aren't carried. Empty table: empty result.
+Null text: empty set. Null doc_id: the row is returned with a null component and links nothing (in
+kept() such rows are compared like all others). Rows that repeat an id: each has its own set; what
+one of them reaches, the id reaches. Extra columns aren't carried by join(), all by kept(). Empty table: empty result.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -44,8 +49,9 @@ K, PERCENT, ORDERS = 4, 85, 3
 FREQUENT, MOST, WINDOW = 8, 1_000_000, 4_000_000
 U = np.uint64
 SEEDS = (U(0), U(0x243F6A8885A308D3), U(0x13198A2E03707344), U(0xA4093822299F31D0))
-STIR = U(0x452821E638D01377)
-FEATURES = "doc_id long, n_shingles long, set_hash long, prefix array<long>"
+STIR, STIR_MORE = U(0x452821E638D01377), U(0xBE5466CF34E90C6C)
+FEATURES = "row long, doc_id long, n_shingles long, set_hash long, set_more long, prefix array<long>"
+SET = ["n_shingles", "set_hash", "set_more"]
 #: Nodes up to this number, 32 MB at most, are broadcast to pick their texts; more are joined by shuffling.
 BROADCAST = 2_000_000
 
@@ -82,6 +88,18 @@ def frequent(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
     return top["h"].to_numpy(U), np.frexp(top["n"].to_numpy(float))[1].astype(np.uint8)
 
 
+def sizes(docs: DataFrame, k: int) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of rows without an id, which link nothing."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n = [len(S.distinct((x.as_py() or "").encode("utf-8", "surrogatepass"), k)) for x in b.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array(n, pa.int64())], names=["n_shingles"])
+
+    null = F.lit(None).cast("long")
+    return docs.select("text").mapInArrow(run, "n_shingles long").select(null.alias("doc_id"), "n_shingles", null.alias("component_id"))
+
+
 def prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
     needed = -(-percent * n // 100)
     return np.where(n > 0, n - needed + 1, 0)
@@ -101,23 +119,23 @@ def ordered(h: np.ndarray, n: np.ndarray, common: tuple[np.ndarray, np.ndarray],
 
 
 def features(docs: DataFrame, k: int, percent: int, common: Broadcast) -> DataFrame:
-    """FEATURES of docs (doc_id, text)."""
+    """FEATURES of docs (row, doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for begin, end, raw in S.blocks(b.column(1).to_pylist()):
+            for begin, end, raw in S.blocks(b.column(2).to_pylist()):
                 h, n = S.of_block(raw, k)
                 (prefix,), p = ordered(h, n, common.value, range(1), percent)
                 cuts = np.append(0, np.cumsum(p)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        b.column(0).slice(begin, end - begin), pa.array(n.astype(np.int64)), pa.array(S.sums(S.mixed(h ^ STIR), n).view(np.int64)),
-                        pa.ListArray.from_arrays(cuts, pa.array(prefix.view(np.int64))),
+                        b.column(0).slice(begin, end - begin), b.column(1).slice(begin, end - begin), pa.array(n.astype(np.int64)),
+                        *(pa.array(S.sums(S.mixed(h ^ x), n).view(np.int64)) for x in (STIR, STIR_MORE)), pa.ListArray.from_arrays(cuts, pa.array(prefix.view(np.int64))),
                     ],
-                    names=["doc_id", "n_shingles", "set_hash", "prefix"],
+                    names=["row", "doc_id", *SET, "prefix"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, FEATURES)
+    return docs.select("row", "doc_id", "text").mapInArrow(run, FEATURES)
 
 
 def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int, common: Broadcast) -> DataFrame:
@@ -125,15 +143,19 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int, common: Br
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         @lru_cache(maxsize=256)
-        def of(text: str) -> tuple[np.ndarray, list[np.ndarray]]:
+        def of(text: str) -> list[np.ndarray]:
             h, n = S.of_block([text.encode("utf-8", "surrogatepass")], k)
-            return h, ordered(h, n, common.value, range(1, ORDERS), percent)[0]
+            return ordered(h, n, common.value, range(1, ORDERS), percent)[0]
+
+        @lru_cache(maxsize=128)
+        def shingles(text: str) -> set[tuple[bytes, ...]]:
+            return S.distinct(text.encode("utf-8", "surrogatepass"), k)
 
         def links(x: str, y: str) -> bool:
-            (one, others), (two, theirs) = of(x), of(y)
-            if not all(np.isin(p, q).any() for p, q in zip(others, theirs, strict=True)):
+            if not all(np.isin(p, q).any() for p, q in zip(of(x), of(y), strict=True)):
                 return False
-            both = len(np.intersect1d(one, two, assume_unique=True))
+            one, two = shingles(x), shingles(y)
+            both = len(one & two)
             return 100 * both >= percent * (len(one) + len(two) - both)
 
         for batch in batches:
@@ -142,31 +164,33 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int, common: Br
                 mask = pa.array([links(x, y) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)], pa.bool_())
                 yield pa.RecordBatch.from_arrays([b.column(0).filter(mask), b.column(1).filter(mask)], names=["a", "b"])
 
-    nodes = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "nodes")
+    nodes = written(pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct(), "nodes")
     picked = F.broadcast(nodes) if nodes.count() <= BROADCAST else nodes
-    texts = written(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(picked, "doc_id", "left_semi"), "texts")
-    b = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("_tb"))
-    a = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("_ta"))
+    texts = written(docs.select("row", F.coalesce("text", F.lit("")).alias("text")).join(picked, "row", "left_semi"), "texts")
+    b = texts.select(F.col("row").alias("b"), F.col("text").alias("_tb"))
+    a = texts.select(F.col("row").alias("a"), F.col("text").alias("_ta"))
     rows = pairs.join(b, "b").join(a, "a").select("a", "b", "_ta", "_tb")
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
-def join(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of docs (doc_id, text), a row for each row."""
+def grouped(docs: DataFrame, k: int, percent: int, by_id: bool) -> DataFrame:
+    """(row, doc_id, n_shingles, component) of docs (row, doc_id, text); component: a row of the group that links make, its own if n_shingles is 0.
+
+    by_id: rows of one id are one document.
+    """
     sc = docs.sparkSession.sparkContext
     common = sc.broadcast(frequent(docs, k))
     feats = written(features(docs, k, percent, common), "features")
-    known = feats.where(F.col("doc_id").isNotNull())
-    classes = written(known.groupBy("n_shingles", "set_hash").agg(F.min("doc_id").alias("node")), "classes")
+    known = feats.where("n_shingles > 0")
+    classes = written(known.groupBy(*SET).agg(F.min("row").alias("node")), "classes")
 
-    # one row stands for equal sets; the others are told by id and set, as an id may come with several sets
-    others = known.join(classes, ["n_shingles", "set_hash"]).where("doc_id <> node").select("doc_id", "set_hash").distinct()
-    others = written(others, "others")
+    # one row stands for equal sets
+    placed = written(known.select("row", "doc_id", *SET).join(classes, SET).select("row", "doc_id", "node"), "placed")
+    others = placed.where("row <> node").select("row")
     others = F.broadcast(others) if others.count() <= BROADCAST else others
-    alone = known.where("n_shingles > 0").join(others, ["doc_id", "set_hash"], "left_anti")
-    rows = alone.select(F.posexplode("prefix").alias("at", "token"), "doc_id", "n_shingles").select("token", "doc_id", (F.col("n_shingles") * 2**32 + F.col("at")).alias("_m"))
-    nodes = rows.repartition("token").groupBy("token", F.col("doc_id").alias("node"), "_m").agg(F.count("*").alias("_c"))
-    nodes = nodes.select("token", "node", F.shiftright("_m", 32).alias("n"), (F.shiftright("_m", 32) - F.col("_m") % 2**32).alias("rest"))
+    alone = known.join(others, "row", "left_anti")
+    rows = alone.select(F.posexplode("prefix").alias("at", "token"), "row", "n_shingles").select("token", F.col("row").alias("node"), (F.col("n_shingles") * 2**32 + F.col("at")).alias("_m"))
+    nodes = rows.repartition("token").select("token", "node", F.shiftright("_m", 32).alias("n"), (F.shiftright("_m", 32) - F.col("_m") % 2**32).alias("rest"))
     many, hub = F.count("*").over(Window.partitionBy("token")), F.min("node").over(Window.partitionBy("token"))
     posting = written(nodes.withColumns({"many": many, "hub": hub}).where("many > 1").drop("many"), "postings")
     # the overlap needed is PERCENT / (100 + PERCENT) of both sizes, and what is left from the token on must reach it
@@ -176,33 +200,53 @@ def join(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
     spokes = posting.where("node <> hub").select("token", F.col("node").alias("a"), F.col("hub").alias("b"), F.col("n").alias("na"), F.col("rest").alias("ra"))
     hubs = written(spokes.join(tops, "token").where(enough).select("a", "b").distinct(), "hubs")
     first = written(verified(hubs, docs, k, percent, common), "links1")
-    grouped = written(components(first), "grouped")
+    parts = written(components(first), "parts")
 
-    tagged = posting.join(grouped, "node", "left").select("token", "node", "n", "rest", F.coalesce("component", "node").alias("component"))
+    tagged = posting.join(parts, "node", "left").select("token", "node", "n", "rest", F.coalesce("component", "node").alias("component"))
     two = F.min("component").over(Window.partitionBy("token")) != F.max("component").over(Window.partitionBy("token"))
     tagged = written(tagged.select("*", two.alias("two")).where("two").drop("two"), "tagged")
-    left = tagged.select("token", F.col("node").alias("a"), F.col("n").alias("na"), F.col("rest").alias("ra"), F.col("component").alias("ca"))
-    right = tagged.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("rest").alias("rb"), F.col("component").alias("cb"))
-    pairs = left.join(right, "token").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & enough).select("a", "b").distinct()
+    # a linked set's size is at most 100 / PERCENT times the smaller one's: it lies in the same or the next class of sizes
+    size = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent + 1e-6)).cast("int")
+    left = tagged.select("token", F.explode(F.array(size, size + 1)).alias("size"), F.col("node").alias("a"), F.col("n").alias("na"), F.col("rest").alias("ra"), F.col("component").alias("ca"))
+    right = tagged.select("token", size.alias("size"), F.col("node").alias("b"), F.col("n").alias("nb"), F.col("rest").alias("rb"), F.col("component").alias("cb"))
+    smaller = (F.col("na") < F.col("nb")) | (F.col("na") == F.col("nb")) & (F.col("a") < F.col("b"))
+    pairs = left.join(right, ["token", "size"]).where(smaller & (F.col("ca") != F.col("cb")) & enough).select("a", "b").distinct()
     second = written(verified(written(pairs, "pairs"), docs, k, percent, common), "links2")
 
     links = first.unionByName(second)
-    groups = components(links)
-    named = classes.join(groups, "node", "left").select("n_shingles", "set_hash", F.coalesce("component", "node").alias("_c"), "node")
-    out = feats.select("doc_id", "n_shingles", "set_hash").join(named, ["n_shingles", "set_hash"], "left")
-    alone = (F.col("n_shingles") == 0) | F.col("doc_id").isNull()
-    return out.select("doc_id", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("_c")).alias("component_id"))
+    if by_id:
+        least = placed.groupBy("doc_id").agg(F.min("node").alias("b"), F.max("node").alias("_m")).where("b <> _m").drop("_m")
+        links = links.unionByName(placed.join(least, "doc_id").select(F.col("node").alias("a"), "b").where("a <> b").distinct())
+    named = placed.join(components(links), "node", "left").select("row", F.coalesce("component", "node").alias("component"))
+    return feats.select("row", "doc_id", "n_shingles").join(named, "row", "left").select("row", "doc_id", "n_shingles", F.coalesce("component", "row").alias("component"))
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs with a number for each row, written, so that it stays."""
+    return written(docs.withColumn("row", F.monotonically_increasing_id()), "rows")
+
+
+def join(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of docs (doc_id, text), a row for each row."""
+    rows = numbered(docs.select("doc_id", "text"))
+    found = written(grouped(rows.where(F.col("doc_id").isNotNull()), k, percent, True), "found")
+    # most components are of one row, named by itself
+    least = found.where("n_shingles > 0").groupBy("component").agg(F.min("doc_id").alias("least"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    linked = found.join(least, "component", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("least", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    nameless = sizes(rows.where(F.col("doc_id").isNull()), k)
+    return linked.unionByName(nameless)
 
 
 def kept(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """docs without near duplicates: of each group the document with the smallest id stays.
+    """docs without near duplicates: of each group of rows one stays, that with the smallest id (none: last), then the first.
 
-    Documents without an id all stay; rows that repeat an id count as one document.
+    Rows that repeat an id, or have none, are documents of their own. Rows without words all stay.
     """
-    groups = join(docs, k, percent)
-    chosen = groups.where("doc_id = component_id").select("doc_id").distinct()
-    stay = docs.join(chosen, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return stay.select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
+    rows = numbered(docs)
+    found = grouped(rows, k, percent, False)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    chosen = found.groupBy("component").agg(F.min(order).alias("_o")).select(F.col("_o.row").alias("row"))
+    return rows.join(chosen, "row", "left_semi").select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

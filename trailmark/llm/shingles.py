@@ -3,20 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
+from xxhash import xxh3_64_intdigest
 
 U = np.uint64
 BLOCK = 1 << 20
 _RANDOM = np.random.Generator(np.random.PCG64(20240601))
-#: Random multipliers of bytes and of the words of a shingle; the same in every process.
-BYTES = _RANDOM.integers(0, 2**64, 256, dtype=U)
+#: Random multipliers of the words of a shingle; the same in every process.
 WORDS = _RANDOM.integers(0, 2**64, 64, dtype=U) | U(1)
-STEP = U(0x9E3779B97F4A7C15)
-SEPARATOR = np.zeros(256, bool)
-SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
-LOWER = np.arange(256, dtype=np.uint8)
-LOWER[0x41:0x5B] += 0x20
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -27,27 +23,16 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 def words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of each word, its text's index) of UTF-8 texts, A-Z lower-cased."""
-    raw = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
-    sep = SEPARATOR[raw]
-    before = np.empty(len(raw), bool)
-    if not len(raw):
-        return np.zeros(0, U), np.zeros(0, np.int64)
-    before[0] = True
-    before[1:] = sep[:-1]
-    starts = np.flatnonzero(before & ~sep)
-    if not len(starts):
-        return np.zeros(0, U), np.zeros(0, np.int64)
-    inside = np.flatnonzero(~sep)
-    number = np.cumsum((before & ~sep)[inside]) - 1
-    place = inside - starts[number]
-    powers = np.full(int(place.max()) + 1, STEP, U)
-    powers[0] = 1
-    powers = np.multiply.accumulate(powers)
-    first = np.flatnonzero(place == 0)
-    sums = np.add.reduceat(BYTES[LOWER[raw[inside]]] * powers[place], first)
-    ends = np.cumsum([len(t) + 1 for t in texts])
-    return mixed(sums), np.searchsorted(ends, starts, side="right")
+    """(hash of each word, its text's index) of UTF-8 texts, A-Z lower-cased. The hash is XXH3, of all bytes."""
+    parts = [t.lower().split() for t in texts]  # of bytes: A-Z, and the six separators
+    n = [len(x) for x in parts]
+    return np.fromiter(map(xxh3_64_intdigest, chain.from_iterable(parts)), U, sum(n)), np.repeat(np.arange(len(texts)), n)
+
+
+def distinct(text: bytes, k: int) -> set[tuple[bytes, ...]]:
+    """The distinct shingles of a text, as words."""
+    w = text.lower().split()
+    return {*zip(*(w[i:] for i in range(k)))} if len(w) >= k else {tuple(w)} if w else set()
 
 
 def of_block(texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
