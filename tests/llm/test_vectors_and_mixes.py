@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from trailmark.llm import mixing, nearest, packing, registry
+from trailmark.llm.common import written
 from trailmark.llm.word_ids import vocabulary, word_ids
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -138,3 +139,35 @@ def test_pipeline_stages_and_registry(spark):
     packed = corpus_pipeline.pack(spark, mixed, "")
     assert packed.agg(F.sum(F.when(F.col("piece") == 0, 1))).first()[0] == mixed.count()
     assert sorted(int(n[2:].split("_")[0]) for n in registry.QUERIES) == list(range(1, 11))
+
+
+def test_nearest_of_huge_and_tiny_vectors(spark):
+    """Squares that overflow or underflow, in one table with ordinary vectors: Decimal arithmetic as brute force."""
+    from decimal import Decimal, localcontext
+
+    rows = [(100, [1e160, 2e160]), (1, [1e160, 1e160]), (2, [3e160, 2e160]), (3, [1.0, 2.0]), (200, [1.0, 1.0]), (4, [1e-200, 1e-200]), (300, [2e-200, 1e-200]), (5, [1.0, 1.5]), (6, [-1e160, 2e160]), (7, [3e-200, 0.0])]
+    got = {}
+    for r in nearest.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 100 == 0).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    with localcontext() as c:
+        c.prec, c.Emax, c.Emin = 60, 10**6, -(10**6)
+        for q in (100, 200, 300):
+            a = dict(rows)[q]
+            far = sorted((sum((Decimal(x) - Decimal(y)) ** 2 for x, y in zip(a, v, strict=True)).sqrt(), i) for i, v in rows if i != q)
+            found = sorted(got[q])
+            assert len(found) == 9 and all(s == pytest.approx(float(d), rel=1e-12) for (_, _, s), (d, _) in zip(found, far, strict=True))
+
+
+def test_packing_rounds_run_at_every_size(spark):
+    rows = [(i, 0, 0, 1 + (i * 7919) % 2048, i) for i in range(300)] + [(None, 0, 0, 700, 0)] * 40
+    items = written(spark.createDataFrame(rows, packing.PIECE_SCHEMA))
+    for per_part in (packing.ITEMS, 20):
+        out = packing.pack(items, per_part=per_part).collect()
+        used = {}
+        for r in out:
+            used.setdefault(r.sequence_id, []).append((r.offset, r.length))
+        for parts in used.values():
+            ends = [0, *(o + n for o, n in sorted(parts))]
+            assert [o for o, _ in sorted(parts)] == ends[:-1] and ends[-1] <= 2048
+        lower = -(-sum(r[3] for r in rows) // 2048)
+        assert len(out) == len(rows) and len(used) <= 1.06 * lower + 1

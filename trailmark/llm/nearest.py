@@ -8,7 +8,8 @@ survive; only they are recomputed, in double precision, and a heap keeps the k b
 The cells' winners meet in a per-query ranking. The bounds make the result exact: recall is 1.
 
 Vectors that are null, zero, or hold null or non-finite components take no part. Vectors are
-compared with those of the same length only. Ties go to the smaller id; repeated rows are separate
+compared with those of the same length only; sizes may be anything finite (only a distance above
+the largest double is infinite, and comes last). Ties go to the smaller id; repeated rows are separate
 candidates; a query never finds a row of its own id. Empty table: empty result. Extra columns are
 not carried. Cells hold about QUERIES queries and CANDIDATES candidates, whatever the input's size.
 """
@@ -26,6 +27,8 @@ from pyspark.sql import functions as F
 from .common import table
 
 K, QUERIES, CANDIDATES = 10, 2048, 16384
+#: Squares below TINY are no longer exact; what a cell's scale makes smaller than WEAK isn't bounded but recomputed.
+TINY, WEAK = 1e-280, 1e-130
 SCHEMA = "query_id long, vec_id long, score double"
 
 
@@ -56,36 +59,54 @@ def matrix(column: pa.ChunkedArray, dim: int) -> np.ndarray:
 
 
 def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Euclidean distance of a to each row of b; components are added one after another."""
+    """Euclidean distance of a to each row of b; components are added one after another.
+
+    Where squares leave the range of doubles, differences are scaled by the largest one first.
+    """
     total = np.zeros(len(b))
-    for i in range(b.shape[1]):
-        d = a[i] - b[:, i]
-        total += d * d
-    return np.sqrt(total)
+    with np.errstate(over="ignore", under="ignore"):
+        for i in range(b.shape[1]):
+            d = a[i] - b[:, i]
+            total += d * d
+        out = np.sqrt(total)
+        odd = np.flatnonzero(~((total > TINY) & (total < np.inf)))
+        if len(odd):
+            halves = np.abs(a / 2 - b[odd] / 2)  # of halves: the difference of two finite numbers may not be finite
+            top = halves.max(axis=1)
+            scaled = halves / np.where(top > 0, top, 1.0)[:, None]
+            out[odd] = 2 * (top * np.sqrt(np.square(scaled).sum(axis=1)))
+    return out
 
 
 def search(query_ids: np.ndarray, a: np.ndarray, ids: np.ndarray, b: np.ndarray, k: int, tile: int = 4096) -> Iterator[tuple[int, int, float]]:
     """The k nearest of each query in one cell, exactly."""
-    qa, sa, ea = quantised(a)
-    na = np.square(qa.astype(np.float64)).sum(axis=1) * sa * sa
     heaps: list[list[tuple[float, int]]] = [[] for _ in query_ids]
     exact = np.float32 if a.shape[1] * 127 * 127 < 2**24 else np.float64  # products of int8 add up exactly
+    # all vectors by one power of two, so that none is above 1; those that this makes tiny get no bounds
+    power = int(np.frexp(max(np.abs(a).max(), np.abs(b).max()))[1])
+    a_scaled = np.ldexp(a, -power)
+    weak = np.abs(a_scaled).max(axis=1) < WEAK
+    qa, sa, ea = quantised(a_scaled)
+    na = np.square(qa.astype(np.float64)).sum(axis=1) * sa * sa
     qa = qa.astype(exact)
     for at in range(0, len(ids), tile):
         part, own = b[at : at + tile], ids[at : at + tile]
-        qb, sb, eb = quantised(part)
+        scaled = np.ldexp(part, -power)
+        unbound = weak[:, None] | (np.abs(scaled).max(axis=1) < WEAK)[None, :]
+        qb, sb, eb = quantised(scaled)
         nb = np.square(qb.astype(np.float64)).sum(axis=1) * sb * sb
         dots = (qa @ qb.astype(exact).T).astype(np.float64)
         near = np.sqrt(np.maximum(na[:, None] + nb[None, :] - 2.0 * sa[:, None] * sb[None, :] * dots, 0.0))
         slack = (ea[:, None] + eb[None, :]) * (1 + 1e-9) + 1e-7 * (np.sqrt(na)[:, None] + np.sqrt(nb)[None, :])
+        lows, highs = np.where(unbound, 0.0, near - slack), np.where(unbound, np.inf, near + slack)
         for i, q in enumerate(query_ids):
-            low, high = near[i] - slack[i], near[i] + slack[i]
+            low, high = lows[i], highs[i]
             mine = own == q
             if mine.any():
                 low[mine] = high[mine] = np.inf
             limit = np.partition(high, k - 1)[k - 1] if len(high) > k else np.inf
             if len(heaps[i]) == k:
-                limit = min(limit, -heaps[i][0][0])
+                limit = min(limit, np.ldexp(-heaps[i][0][0], -power) * (1 + 1e-9) + WEAK)
             live = np.flatnonzero((low <= limit) & ~mine)
             for d, v in zip(distance(a[i], part[live]).tolist(), own[live].tolist(), strict=True):
                 if len(heaps[i]) < k:
