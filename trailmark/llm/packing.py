@@ -1,7 +1,8 @@
 """Operator 7: hierarchical residual packing of token sequences.
 
 Documents are tokenized once into pieces (only longer ones than the capacity are cut). Pieces are
-dealt evenly by hash; every partition packs its own by best fit, longest first. Nearly full
+dealt out by a hash of their number, whatever they hold, about ITEMS to a partition and two partitions at
+least; every partition packs its own by best fit, longest first. Nearly full
 sequences are done. The underfull ones then act as items themselves: groups of FAN partitions pack
 theirs together, then groups of groups, until one group is left. These rounds move only
 (sequence, used) pairs. What a group hands on is bounded: at most one sequence up to half full
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import table, written
 from .word_ids import crc32, vocabulary, word_ids
 
-CAPACITY, END, FAN, NEARLY_FULL, ITEMS = 2048, 0, 8, 0.99, 500_000
+CAPACITY, END, FAN, NEARLY_FULL, ITEMS = 2048, 0, 8, 0.99, 20_000
 VOCABULARY = "word_bpe_49k.json"
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -126,10 +127,10 @@ def merge_round(bins: DataFrame, groups: int, capacity: int) -> DataFrame:
 
 
 def pack(items: DataFrame, capacity: int = CAPACITY, per_part: int = ITEMS) -> DataFrame:
-    """items (PIECE_SCHEMA) with sequence_id and offset; `length` is at most capacity."""
-    n = items.count()
-    parts = max(1, -(-n // per_part))
-    placed = written(local(items.repartition(parts, F.xxhash64("doc_id", "piece", "start", "length")), capacity), "local")
+    """items (PIECE_SCHEMA, read from a written table, as they are numbered) with sequence_id and offset; `length` is at most capacity."""
+    parts = max(2, -(-items.count() // per_part))
+    dealt = items.withColumn("_k", F.monotonically_increasing_id()).repartition(parts, F.xxhash64("_k")).drop("_k")
+    placed = written(local(dealt, capacity), "local")
     parts = (placed.agg(F.max("part")).first()[0] or 0) + 1
     # at most `parts` fuller bins of a part can ever meet one that is up to half full
     heads = placed.where((F.col("offset") == 0) & (F.col("used") < NEARLY_FULL * capacity)).select("bin", "used", "part")
