@@ -396,3 +396,53 @@ def test_kept_loses_no_text_without_a_duplicate(spark):
     want = [min(g, key=lambda x: (x[0] is None, x[0] or 0)) for g in groups]
     assert sorted(got, key=str) == sorted(want, key=str)
     assert near_duplicates.kept(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ('<article><header><h1>Title</h1></header><section id="related-work"><p>Body</p></section><p>E = <math><mi>m</mi><msup><mi>c</mi><mn>2</mn></msup></math></p></article>', ["Title", "Body", "E = mc2"]),
+        ('<header>Site</header><main><p>a</p><div class="share-buttons">x</div><div class="comment-policy">b</div><footer>y</footer><div id="comments"><p>z</p></div></main>', ["a", "b"]),
+        ("<article><p>a <object>b</object> c</p></article>", ["a b c"]),
+    ],
+)
+def test_html_keeps_headings_sections_and_formulas(page, want):
+    assert [t for k, t in html_text.blocks(page) if k == html_text.MAIN] == want
+
+
+def test_html_pages_by_a_second_reading(spark):
+    """Whole pages against the standard library's parser; nulls, empty and very long pages, repeated rows, clashing columns, an empty table."""
+    from html.parser import HTMLParser
+
+    class Reader(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.depth, self.parts = 0, [[]]
+
+        def handle_starttag(self, tag, attrs):
+            self.depth += tag == "article"
+            self.parts += [[]] if tag in ("p", "h1", "article") else []
+            self.parts[-1] += ["\n"] if tag == "br" else []
+
+        def handle_endtag(self, tag):
+            self.depth -= tag == "article"
+            self.parts += [[]] if tag in ("p", "h1", "article") else []
+
+        def handle_data(self, data):
+            if self.depth:
+                self.parts[-1].append(data)
+
+    def read(html):
+        r = Reader()
+        r.feed(html or "")
+        r.close()
+        return "\n\n".join(x for x in (" ".join("".join(p).split()) for p in r.parts) if x)
+
+    def page(i, n):
+        return f"<nav><li>home {i}<li>more</nav><div class=ad>{text(i, 9)}</div><article><h1>{text(i, 5)} &amp; &eacute;</h1><p><b>{text(i + 1, n)}<br>x</b><p>{text(i, 30)}</p></article><footer>&copy; f</footer>"
+
+    rows = [(i, f"http://{'ab'[i % 2]}.example/{i}", page(i, 20)) for i in range(30)] + [(30, "http://a.example", page(30, 60_000)), (31, None, None), (None, "http://a.example", ""), (5, "http://b.example/5", page(5, 20)), (None, "u", page(6, 8))]
+    df = spark.createDataFrame([(i, u, h, 1, "k") for i, u, h in rows], "page_id long, url string, html string, split int, host string").repartition(3)
+    got = sorted((str(r.page_id), str(r.url), r.text, r.n_chars) for r in html_text.extract(df).collect())
+    assert got == sorted((str(i), str(u), read(h), len(read(h))) for i, u, h in rows)
+    assert html_text.extract(df.limit(0)).count() == 0

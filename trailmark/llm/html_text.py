@@ -3,14 +3,17 @@
 1. Pages are read into blocks by a forgiving tag reader: block-level tags end a block, inline ones
    and line breaks don't. A block is `main` (in an article or main element), `furniture` (in a menu,
    header, footer, sidebar, form, script, advert, notice or comment, by tag, role or class) or open.
-   An article or main element is main even inside what only class or id words call furniture.
-   Frames, drawings, options and the like are left out, up to their end, the end of what they stand
-   in or, where HTML lets them end so, the next block; without any of these only their tag is.
-2. A page's blocks are one token stream. The streams of one host are put end to end, and their
-   suffixes sorted by prefix doubling to a depth of DEPTH tokens. A run of DEPTH tokens or more that
-   starts alike in PAGES_SHARING pages of the host, distinct in id and in text, is a repeated one. Hosts of more than PAGES pages are
-   split by hash of the page: their runs of DEPTH tokens are counted host-wide by hash, and each
-   part gets those of its runs that are repeated on the host.
+   An article or main element is main even inside what only class or id words call furniture; a
+   header in it is its heading; and in it a class or id counts only if it says nothing but furniture
+   (`share-buttons`, not `related-work`). Frames, drawings, options and the like are left out, up to
+   their end, the end of what they stand in or, where HTML lets them end so, the next block; without
+   any of these only their tag is.
+2. A page's other blocks than main ones are one token stream. The streams of one host are put end to
+   end, and their suffixes sorted by prefix doubling to a depth of DEPTH tokens. A run of DEPTH tokens or more that
+   starts alike in PAGES_SHARING pages of the host, distinct in id and in text, is a repeated one. (A token is in
+   such a run just if it is in one of DEPTH tokens, so sorting deeper would cover no other tokens.) Hosts
+   of more than PAGES pages are split by hash of the page: their runs of DEPTH tokens are counted
+   host-wide by hash, and each part gets those of its runs that are repeated on the host, which gives the same.
 3. Furniture goes. Of open blocks the tokens that repeated runs cover go: boilerplate that markup
    doesn't tell. Where a page has main blocks, its open blocks go as well, and main blocks
    stay even if they repeat: articles quote and copy each other, and the article is what is asked
@@ -44,16 +47,17 @@ BROADCAST = 500_000
 MAIN, OPEN, FURNITURE, WORDED = 0, 1, 2, 3  # WORDED: furniture by class or id words; only while reading
 #: Fixed lists: names of HTML.
 RAW = frozenset("script style textarea title".split())
-LEFT_OUT = frozenset("noscript template iframe svg math select datalist option object".split())
+LEFT_OUT = frozenset("noscript template iframe svg select datalist option annotation annotation-xml".split())
 #: LEFT_OUT elements that a block ends, and the blocks that do.
-OPEN_ENDED = frozenset("svg math select datalist option".split())
+OPEN_ENDED = frozenset("svg select datalist option".split())
 BREAKS = frozenset(
     "address article aside blockquote body center dd details div dl dt fieldset figure footer form h1 h2 h3 h4 h5 h6 header li main nav ol p pre section table tbody td th tr ul".split()
 )
 STATE = re.compile(r"(?:no|not|non|without|with|has|hide)[-_]")  # such class names say what a page has, not what the element is
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img br".split()
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img br object "
+    "math menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split()
 )
 FURNITURE_TAGS = frozenset("nav header footer aside form menu dialog button fieldset head audio video canvas".split())
 FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar".split())
@@ -61,6 +65,8 @@ FURNITURE_WORDS = frozenset(
     "ad ads advert advertisement advertising adsense banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr header masthead menu modal nav navbar "
     "navigation newsletter notice overlay pagination pager popup promo promoted related respond share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
 )
+#: Words that say nothing of an element's text when they stand beside furniture words.
+PLACES = frozenset("area bar block bottom box button buttons container content count group head inner item items left link links list module outer panel right row section side slot sticky text title top unit wrap wrapper".split())
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 SPLIT = re.compile(r"[^a-z0-9]+")
@@ -72,7 +78,7 @@ OUT = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.stri
 
 def _place(tag: str, attributes: str, outer: int) -> int:
     """What an element's text is, given what its parent's is."""
-    if outer == FURNITURE or tag in FURNITURE_TAGS:
+    if outer == FURNITURE or tag in FURNITURE_TAGS and not (tag == "header" and outer == MAIN):
         return FURNITURE
     main, worded = tag in ("article", "main"), False
     if attributes.strip(" /\n\t\r"):
@@ -81,7 +87,8 @@ def _place(tag: str, attributes: str, outer: int) -> int:
             if name == "hidden" or name == "role" and value in FURNITURE_ROLES:
                 return FURNITURE
             if name in ("class", "id") and tag not in ("html", "body"):
-                worded |= any(not FURNITURE_WORDS.isdisjoint(SPLIT.split(x)) for x in value.split() if not STATE.match(x))
+                for parts in ({*SPLIT.split(x)} - {""} for x in value.split() if not STATE.match(x)):
+                    worded |= not FURNITURE_WORDS.isdisjoint(parts) and (outer != MAIN or parts <= FURNITURE_WORDS | PLACES)
             main |= name == "role" and value == "main" or name == "itemprop" and value == "articlebody"
     return WORDED if worded else MAIN if main else outer
 
@@ -269,6 +276,11 @@ def evidence(group: pa.Table) -> pa.Table:
     return found.group_by(["h", "salt", "hash"]).aggregate([]).select(["h", "salt", "hash"])
 
 
+def stream(kinds: list[int], texts: list[str]) -> list[str]:
+    """The tokens of a page's blocks other than main ones."""
+    return " ".join([t for k, t in zip(kinds, texts, strict=True) if k != MAIN]).split()
+
+
 def runs(split: DataFrame) -> DataFrame:
     """(hash, h, salt, id, copy): runs of parsed pages (h, salt); of many pages of one salt read together, PAGES_SHARING ids and texts stand for all."""
 
@@ -276,8 +288,8 @@ def runs(split: DataFrame) -> DataFrame:
         for batch in batches:
             for begin in range(0, batch.num_rows, READ):
                 b = batch.slice(begin, READ)
-                texts = [" ".join(x) for x in b.column("blocks").to_pylist()]
-                streams = [x.split() for x in texts]
+                found = b.column("blocks").to_pylist()
+                streams, texts = [stream(k, x) for k, x in zip(b.column("kinds").to_pylist(), found, strict=True)], [" ".join(x) for x in found]
                 at, hashes = windows(streams)
                 row = np.repeat(np.arange(len(texts)), [len(x) for x in streams])[at]
                 h, salt, page = (np.asarray(c)[row] for c in (b.column("h"), b.column("salt"), b.column("id")))
@@ -317,7 +329,7 @@ def decide(group: pa.Table, hot: pa.Table) -> pa.Table:
     kinds, texts = group.column("kinds").to_pylist(), group.column("blocks").to_pylist()
     names: dict[int | None, int] = {}
     number = [names.setdefault(x, len(names)) for x in ids]
-    streams = [" ".join(x).split() for x in texts]
+    streams = [stream(k, x) for k, x in zip(kinds, texts, strict=True)]
     if group.column("split")[0].as_py():
         at, hashes = windows(streams)
         hit = covered_from(at[np.isin(hashes, np.asarray(hot.column("hash")))], sum(len(x) for x in streams))
@@ -329,12 +341,15 @@ def decide(group: pa.Table, hot: pa.Table) -> pa.Table:
     for ks, ts in zip(kinds, texts, strict=True):
         has_main, kept, total = MAIN in ks, [], 0
         for k, t in zip(ks, ts, strict=True):
+            if k == MAIN:
+                kept.append(t)
+                continue
             size = t.count(" ") + 1  # blocks have single spaces
             cut = hit[at : at + size]
             n = int(cut.sum())
             total += n
-            if k == MAIN or k == OPEN and not has_main and n < size:
-                kept.append(" ".join(x for x, c in zip(t.split(" "), cut.tolist(), strict=True) if not c) if k == OPEN and n else t)
+            if k == OPEN and not has_main and n < size:
+                kept.append(" ".join(x for x, c in zip(t.split(" "), cut.tolist(), strict=True) if not c) if n else t)
             at += size
         out.append("\n\n".join(kept))
         tokens.append(total)
@@ -342,19 +357,19 @@ def decide(group: pa.Table, hot: pa.Table) -> pa.Table:
 
 
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """(page_id, url, text, n_chars, n_repeated): n_repeated counts the page's tokens in repeated runs."""
+    """(page_id, url, text, n_chars, n_repeated): n_repeated counts the page's tokens in repeated runs, outside main blocks."""
     host = F.coalesce(F.lower(F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)", 1)), F.lit(""))
     large = pages.select(host.alias("_h")).groupBy("_h").agg(F.count("*").alias("_n")).where(F.col("_n") > PAGES)
     large = written(large, "hosts")
     many, rows = large.agg(F.count("*"), F.coalesce(F.sum("_n"), F.lit(0))).first()
     small = many <= BROADCAST  # so the pages are dealt once, by host and salt
     read = parsed(pages, page_id, url, html)
-    salt = F.pmod(F.xxhash64("page_id"), F.ceil(F.coalesce("_n", F.lit(1)) / PAGES)).cast("int")
+    salt = F.pmod(F.xxhash64("page_id", "url", "blocks"), F.ceil(F.coalesce("_n", F.lit(1)) / PAGES)).cast("int")
     among = lambda how: read.join(F.broadcast(large) if small else large, read["host"] == large["_h"], how)
     dealt = among("left").select("page_id", "url", "kinds", "blocks", "host", salt.alias("salt"), F.col("_n").isNotNull().alias("split"))
     key = F.xxhash64("_h")
     if rows:
-        found = runs(among("inner").select("blocks", key.alias("h"), salt.alias("salt"), F.coalesce("page_id", F.lit(NO_ID)).alias("id")))
+        found = runs(among("inner").select("kinds", "blocks", key.alias("h"), salt.alias("salt"), F.coalesce("page_id", F.lit(NO_ID)).alias("id")))
         bucket = F.pmod(F.xxhash64("hash"), F.lit(-(-rows // COUNTED))).alias("bucket")
         hot = found.select("*", bucket).groupBy("bucket").applyInArrow(evidence, "h long, salt int, hash long")
         names = large.select(F.col("_h").alias("host"), key.alias("h"))
