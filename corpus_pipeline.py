@@ -8,6 +8,11 @@ documents.
 2. near_duplicates: of documents that share 80 % of their five-word shingles, one of each group stays.
 3. mixing: sources are mixed to their target weights; a document is there as often as it is taken.
 4. packing: pieces of the documents' tokens, packed into sequences of at most 2048.
+
+Null or empty texts fail the rules and go. Null sources are a source. Rows that repeat an id, or have
+none, are documents of their own in every stage: only a text that has a near duplicate goes. Ties are
+broken by id, then by row. Further columns are carried as far as mixing, except by the names it makes
+itself. An empty table gives an empty result.
 """
 
 from __future__ import annotations
