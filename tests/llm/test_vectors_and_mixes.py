@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -171,3 +172,25 @@ def test_packing_rounds_run_at_every_size(spark):
             ends = [0, *(o + n for o, n in sorted(parts))]
             assert [o for o, _ in sorted(parts)] == ends[:-1] and ends[-1] <= 2048
         assert len(out) == len(rows) and len(used) <= 1.06 * whole + 1
+
+
+def test_pipeline_of_repeated_ids_nulls_and_nothing(spark, tmp_path):
+    """run() over odd rows: no text without a near duplicate goes, whatever its id; ids of the pieces by the library."""
+    from tokenizers import Tokenizer
+
+    r = random.Random(8)
+    words = [f"word{i}" for i in range(400)]
+    texts = [" ".join(r.choice(words) for _ in range(90)) for _ in range(9)]
+    rows = [(7, texts[0]), (7, texts[1]), (8, texts[2]), (8, texts[2]), (None, texts[3]), (None, texts[4]), (9, texts[4].upper()), (10, texts[5] + " tail"), (11, texts[5]), (12, texts[6]), (12, None), (13, ""), (14, texts[7]), (15, texts[8])]
+    df = spark.createDataFrame([(i, t, "en", "s", 0, 1.5) for i, t in rows], f"{DOCS}, component double")
+    df.write.parquet(f"file://{tmp_path}/a/documents.parquet")
+    df.limit(0).write.parquet(f"file://{tmp_path}/b/documents.parquet")
+    library = Tokenizer.from_file(vocabulary("word_bpe_49k.json"))
+    want = []
+    for i, t in [(7, texts[0]), (7, texts[1]), (8, texts[2]), (None, texts[3]), (9, texts[4].upper()), (10, texts[5] + " tail"), (12, texts[6]), (14, texts[7]), (15, texts[8])]:
+        ids = [*library.encode(t, add_special_tokens=False).ids, 0]
+        want.append((i, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+    # one source: its target is its size, so every document is taken once
+    got = corpus_pipeline.run(spark, f"file://{tmp_path}/a")
+    assert sorted(((r.doc_id, r.length, r.ids_crc32) for r in got.collect()), key=str) == sorted(want, key=str)
+    assert corpus_pipeline.run(spark, f"file://{tmp_path}/b").count() == 0
