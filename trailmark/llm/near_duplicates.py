@@ -18,8 +18,9 @@ id, or have none, are never confused.
    for the overlap needed: the first token that two linked sets share has such places. In a group of
    copies that differ too much, what makes them differ is rare and stands in front, so their shared
    tokens come too late; the group doesn't become all its pairs. Tokens of one node only are dropped.
-   Each token's nodes are first paired with its smallest node alone, so copies in a large group meet
-   a few hubs and not each other. Then all pairs whose nodes aren't yet in one component follow.
+   Each token's nodes are first paired with one of them alone, so copies in a large group meet a few
+   hubs and not each other: the one that has the token furthest in front, hence the fewest rare
+   shingles, as what the others are copies of has. Then all pairs whose nodes aren't yet in one component follow.
 4. Candidates must share prefix tokens under the other orders as well (intersection of the filters).
 5. Those left are verified on the words of the whole texts, not on hashes.
 
@@ -191,7 +192,7 @@ def grouped(docs: DataFrame, k: int, percent: int, by_id: bool) -> DataFrame:
     alone = known.join(others, "row", "left_anti")
     rows = alone.select(F.posexplode("prefix").alias("at", "token"), "row", "n_shingles").select("token", F.col("row").alias("node"), (F.col("n_shingles") * 2**32 + F.col("at")).alias("_m"))
     nodes = rows.repartition("token").select("token", "node", F.shiftright("_m", 32).alias("n"), (F.shiftright("_m", 32) - F.col("_m") % 2**32).alias("rest"))
-    many, hub = F.count("*").over(Window.partitionBy("token")), F.min("node").over(Window.partitionBy("token"))
+    many, hub = F.count("*").over(Window.partitionBy("token")), F.min(F.struct(F.col("n") - F.col("rest"), "node")).over(Window.partitionBy("token"))["node"]
     posting = written(nodes.withColumns({"many": many, "hub": hub}).where("many > 1").drop("many"), "postings")
     # the overlap needed is PERCENT / (100 + PERCENT) of both sizes, and what is left from the token on must reach it
     enough = F.least("ra", "rb") * (100 + percent) >= (F.col("na") + F.col("nb")) * percent
