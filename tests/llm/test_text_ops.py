@@ -446,3 +446,10 @@ def test_html_pages_by_a_second_reading(spark):
     got = sorted((str(r.page_id), str(r.url), r.text, r.n_chars) for r in html_text.extract(df).collect())
     assert got == sorted((str(i), str(u), read(h), len(read(h))) for i, u, h in rows)
     assert html_text.extract(df.limit(0)).count() == 0
+
+
+def test_verification_holds_a_bounded_number_of_characters():
+    made = []
+    get = near_duplicates.remembered(lambda x: made.append(x) or len(x), 10)
+    assert [get(x) for x in ("aaaa", "bbbb", "aaaa", "c" * 50, "aaaa", "")] == [4, 4, 4, 50, 4, 0]
+    assert made == ["aaaa", "bbbb", "c" * 50, "aaaa", ""]

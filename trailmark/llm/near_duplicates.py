@@ -32,8 +32,8 @@ one of them reaches, the id reaches. Extra columns aren't carried by join(), all
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Callable, Iterator
+from typing import TypeVar
 
 import numpy as np
 import pyarrow as pa
@@ -49,12 +49,15 @@ K, PERCENT, ORDERS = 4, 85, 3
 #: Shingles counted as frequent: in at least FREQUENT documents; at most MOST of them, 9 MB, are told to all tasks.
 FREQUENT, MOST, WINDOW = 8, 1_000_000, 4_000_000
 U = np.uint64
+T = TypeVar("T")
 SEEDS = (U(0), U(0x243F6A8885A308D3), U(0x13198A2E03707344), U(0xA4093822299F31D0))
 STIR, STIR_MORE = U(0x452821E638D01377), U(0xBE5466CF34E90C6C)
 FEATURES = "row long, doc_id long, n_shingles long, set_hash long, set_more long, prefix array<long>"
 SET = ["n_shingles", "set_hash", "set_more"]
 #: Nodes up to this number, 32 MB at most, are broadcast to pick their texts; more are joined by shuffling.
 BROADCAST = 2_000_000
+#: Characters of texts whose shingles a task holds at once, so that long texts don't add up.
+HELD = 1 << 20
 
 
 def frequent(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -139,18 +142,34 @@ def features(docs: DataFrame, k: int, percent: int, common: Broadcast) -> DataFr
     return docs.select("row", "doc_id", "text").mapInArrow(run, FEATURES)
 
 
+def remembered(make: Callable[[str], T], most: int) -> Callable[[str], T]:
+    """make, with its results for the latest texts held: of at most `most` characters in all, or of one text."""
+    held: dict[str, T] = {}
+    size = 0
+
+    def get(text: str) -> T:
+        nonlocal size
+        if text not in held:
+            if size + len(text) > most:
+                held.clear()
+                size = 0
+            held[text] = make(text)
+            size += len(text)
+        return held[text]
+
+    return get
+
+
 def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int, common: Broadcast) -> DataFrame:
     """The pairs (a, b) that pass the other orders' filters and link. Rows stream; no group is held."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        @lru_cache(maxsize=256)
-        def of(text: str) -> list[np.ndarray]:
+        def prefixes(text: str) -> list[np.ndarray]:
             h, n = S.of_block([text.encode("utf-8", "surrogatepass")], k)
             return ordered(h, n, common.value, range(1, ORDERS), percent)[0]
 
-        @lru_cache(maxsize=128)
-        def shingles(text: str) -> set[tuple[bytes, ...]]:
-            return S.distinct(text.encode("utf-8", "surrogatepass"), k)
+        of = remembered(prefixes, HELD)
+        shingles = remembered(lambda text: S.distinct(text.encode("utf-8", "surrogatepass"), k), HELD)
 
         def links(x: str, y: str) -> bool:
             if not all(np.isin(p, q).any() for p, q in zip(of(x), of(y), strict=True)):
