@@ -7,7 +7,7 @@ metres sit on top of it.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Metres a degree.
@@ -26,6 +26,24 @@ def planar_at(lat1: Column, lon1: Column, lat2: Column, lon2: Column, lat0: Colu
     return F.sqrt(dx * dx + dy * dy)
 
 
+def _scale(gy: Column, size: float) -> Column:
+    """Metres a degree of longitude, for all of a band of cells."""
+    return F.lit(LON_M) * F.greatest(F.cos(F.radians((gy + 0.5) * size / LAT_M)), F.lit(1e-3))
+
+
+def in_cell(rows: DataFrame, lat: Column, lon: Column, size: float | Column) -> DataFrame:
+    """rows with gy, gx: the grid cell of a point; cells are about size metres wide and high."""
+    rows = rows.withColumn("gy", F.floor(lat * LAT_M / size))
+    return rows.withColumn("gx", F.floor(lon * _scale(F.col("gy"), size) / size))
+
+
+def by_cells(rows: DataFrame, lat: Column, lon: Column, size: float | Column, reach: float | Column) -> DataFrame:
+    """rows once for each cell that a point within reach metres may be in: four at most, if reach is at most half of size."""
+    rows = rows.withColumn("gy", F.explode(F.sequence(F.floor((lat * LAT_M - reach) / size), F.floor((lat * LAT_M + reach) / size))))
+    x = lon * _scale(F.col("gy"), size)
+    return rows.withColumn("gx", F.explode(F.sequence(F.floor((x - reach) / size), F.floor((x + reach) / size))))
+
+
 def degrees2(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     """Squared distance in degrees, longitude scaled about the first point; ranks neighbours."""
     dx = (lon2 - lon1) * F.cos(F.radians(lat1))

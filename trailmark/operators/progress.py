@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geo import planar_m
+from ..functions.geo import by_cells, in_cell, planar_m
 from ..functions.intervals import covered, fraction, merged, needed
 
 
@@ -140,12 +140,14 @@ def first_completion(spans: DataFrame, targets: DataFrame) -> DataFrame:
 def rekey(old: DataFrame, new: DataFrame) -> DataFrame:
     """(old_id, new_id or null): the nearest target of the same name, under 40 m away and of similar length.
 
-    old and new have (id, ord, name, lat, lon, length): midpoints.
+    old and new have (id, ord, name, lat, lon, length): midpoints. Only cells about a midpoint are compared.
     """
-    a, b = old.alias("a"), new.alias("b")
+    place = (F.col("lat"), F.col("lon"))
+    a, b = by_cells(old, *place, 120.0, 50.0).alias("a"), in_cell(new, *place, 120.0).alias("b")
     d = planar_m(F.col("a.lat"), F.col("a.lon"), F.col("b.lat"), F.col("b.lon"))
     close = (d < 40) & (F.abs(F.col("a.length") - F.col("b.length")) <= F.greatest(F.lit(20.0), 0.35 * F.col("a.length")))
-    hits = a.join(b, F.col("a.name") == F.col("b.name")).where(close).groupBy(F.col("a.id").alias("old_id")).agg(F.min(F.struct(d.alias("d"), F.col("b.ord"), F.col("b.id"))).alias("_m"))
+    on = (F.col("a.name") == F.col("b.name")) & (F.col("a.gy") == F.col("b.gy")) & (F.col("a.gx") == F.col("b.gx"))
+    hits = a.join(b, on).where(close).groupBy(F.col("a.id").alias("old_id")).agg(F.min(F.struct(d.alias("d"), F.col("b.ord"), F.col("b.id"))).alias("_m"))
     return old.select(F.col("id").alias("old_id")).join(hits.select("old_id", F.col("_m.id").alias("new_id")), "old_id", "left")
 
 
