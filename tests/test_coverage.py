@@ -1,6 +1,7 @@
 """Rules, intervals, inventory, tracks, matching, sources and the query catalogue on small networks."""
 
 import json
+import math
 import random
 
 import pytest
@@ -243,15 +244,29 @@ def test_network_files(spark, tmp_path):
     assert got == {"a": [(0.0, 1.0)], "b": [(0.0, 0.5)]} and networks.read_imports(spark, f"file://{tmp_path}/store.json").first().raw_m == 5.0
     text = sinks.store_json(networks.read_store(spark, f"file://{tmp_path}/store.json"), {"schema_version": 2})
     assert json.loads(text)["walked"]["b"]["intervals"] == [[0.0, 0.5]]
-    (tmp_path / "off.csv").write_text('street,st_type,layer,active,line\nMAIN,ST,S,true,"LINESTRING (0 0, 0.001 0)"\nUNNAMED 5,,S,true,"LINESTRING (0 0, 1 0)"\nOLD,ST,S,false,"LINESTRING (0 0, 1 0)"\n')
+    (tmp_path / "off.csv").write_text('street,st_type,layer,active,line\nMAIN,ST,S,true,"LINESTRING (0 0, 0.001 0)"\nUNNAMED 5,,S,true,"LINESTRING (0 0, 1 0)"\nOLD,ST,S,false,"LINESTRING (0 0, 1 0)"\nRAMPART,ST,s,TRUE,"LINESTRING (0 0, 0.001 0)"\nBAY,TUNL,S,true,"LINESTRING (0 0, 1 0)"\nI-80 W,,S,true,"LINESTRING (0 0, 1 0)"\nMAIN ON RAMP,,S,true,"LINESTRING (0 0, 1 0)"\nODD,ST,S,1,"LINESTRING (0 0, 1 0)"\n')
     off = networks.read_official(spark, f"file://{tmp_path}/off.csv", ["S"]).collect()
-    assert [(r.name, round(r.m, 1)) for r in off] == [("main street", 111.3)]
+    assert sorted((r.name, round(r.m, 1)) for r in off) == [("main street", 111.3), ("rampart street", 111.3)]
     asked = []
     n150 = spark.createDataFrame([(str(i), i, 0.0, 0.0, None) for i in range(150)], NODES)
     assert networks.fetch_elevations(n150, spark.createDataFrame([], "node_id string, elevation double"), lambda p: [None if i % 2 else 7.0 for i in range(len(p))], pause=0.0).agg(F.sum("elevation")).first()[0] == 525.0
     assert asked == []
 
 
+def test_names_fold_cases_and_cells_lose_no_pair(spark):
+    names_ = ["Große  Straße", "ΟΔΟΣ", "Kadıköy", " ÉTÉ "]
+    rows = spark.createDataFrame([(x,) for x in names_], "x string")
+    assert [r.n for r in rows.select(names.normalized_name(F.col("x"), ()).alias("n")).collect()] == [" ".join(x.split()).casefold() for x in names_]
+    rng = random.Random(5)
+    spots = [(str(i), i, rng.choice("ab"), lat + rng.uniform(0, 0.003), rng.uniform(-0.003, 0.003), rng.uniform(50, 100)) for i in range(300) for lat in [rng.choice([-60.0, 0.0, 37.7])]]
+    cols = "id string, ord int, name string, lat double, lon double, length double"
+    old, new = spots[:150], spots[150:]
+    got = {r.old_id: r.new_id for r in progress.rekey(spark.createDataFrame(old, cols), spark.createDataFrame(new, cols)).collect()}
+    far = lambda p, q: math.hypot((p[4] - q[4]) * 111320 * math.cos(math.radians((p[3] + q[3]) / 2)), (p[3] - q[3]) * 110540)
+    near = {p[0]: min(((far(p, q), q[1], q[0]) for q in new if p[2] == q[2] and far(p, q) < 40 and abs(p[5] - q[5]) <= max(20, 0.35 * p[5])), default=(0, 0, None))[2] for p in old}
+    assert got == near and any(near.values())
+
+
 def test_streamed_evidence(spark, tmp_path):
     src = f"file://{tmp_path}/in"
     spark.createDataFrame([("a", 0.0, 0.4, "2024-01-02"), ("a", 0.3, 0.6, "2024-01-01"), ("b", 0.9, 1.5, None)], "coverage_id string, lo double, hi double, date string").write.parquet(src)
@@ -281,7 +296,19 @@ def test_commands_from_snapshot_to_plan(spark, tmp_path):
     assert {r.name for r in run("remaining")} == {f"row{i}" for i in (1, 2, 3)} | {f"col{i}" for i in range(4)}
     assert len(run("audit")) >= 1 and run("total")[0].n_required == 24
     run("plan", "--out", f"file://{tmp_path}/day", "--km", "1", "--style", "efficient")
-    assert len(json.loads((tmp_path / "day.route.json").read_text())) > 3
+    steps = json.loads((tmp_path / "day.route.json").read_text())
+    drawn, track = json.loads((tmp_path / "day.geojson").read_text())["features"], (tmp_path / "day.gpx").read_text()
+    assert len(steps) == len(drawn) > 3 and [f["properties"]["deadhead"] for f in drawn] == [s[3] for s in steps]
+    ends = [f["geometry"]["coordinates"] for f in drawn]
+    assert all(a[-1] == b[0] for a, b in zip(ends, ends[1:], strict=False))
+    assert "Start on" in track and "<name>End</name>" in track and track.count("<trkpt") == len(steps) + 1
+    with pytest.raises(SystemExit):
+        run("rebuild", "--source", f"file://{tmp_path}/w.gpx")
+    for name in ("Hill - May 3, 2024.gpx", "copy - May 4, 2024.gpx"):
+        (tmp_path / name).write_text((tmp_path / "w.gpx").read_text())
+    made = run("rebuild", "--source", f"file://{tmp_path}/*2024.gpx", "--force")
+    assert [(r.source, r.date, r.note) for r in made] == [("Hill - May 3, 2024.gpx", "2024-05-03", "Hill - May 3, 2024")]
+    assert run("status")[0].latest == "2024-05-03" and not run("status")[0].other_network
     assert len(run("done", "--source", f"file://{tmp_path}/day.route.json")) > 0
     run("map", "--out", f"file://{tmp_path}/m")
     run("render", "--out", f"file://{tmp_path}/m")

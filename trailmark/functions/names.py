@@ -49,8 +49,14 @@ def canonical_name(name: Column, corridors: tuple = CORRIDORS) -> Column:
 
 
 def normalized_name(name: Column, corridors: tuple = CORRIDORS) -> Column:
-    """Canonical, white space collapsed (Unicode), lower-cased."""
-    return F.lower(F.trim(F.regexp_replace(canonical_name(name, corridors), r"(?U)\s+", " ")))
+    """Canonical, white space collapsed (Unicode), case folded: a sharp s is `ss`, a last sigma like any other, a dotless i stays.
+
+    Cherokee letters and Greek ones with an iota below fold to their lower-cased forms.
+    """
+    plain = F.trim(F.regexp_replace(canonical_name(name, corridors), r"(?U)\s+", " "))
+    # the optimizer makes lower(upper(x)) into lower(x), so the dotless i comes back in between
+    upper = F.translate(F.upper(F.translate(plain, "\u0131", "\ue000")), "\ue000", "\u0131")
+    return F.translate(F.lower(upper), "\u03c2", "\u03c3")
 
 
 def official_name(text: Column) -> Column:

@@ -138,6 +138,12 @@ def without_driveways(edges: DataFrame) -> DataFrame:
     return edges.where(~has("service", *SERVICES))
 
 
+#: Tags without which a snapshot can't be classified.
+CRITICAL_TAGS = [
+    "foot", "footway", "sidewalk", "amenity", "parking", "indoor", "building", "layer", "level", "man_made", "barrier", "railway", "public_transport", "area",
+]
+
+
 def tag_gaps(edges: DataFrame, declared: list[str], critical: list[str]) -> list[str]:
     """Critical tags that the snapshot neither declares nor has."""
     present = edges.select(F.explode(F.map_keys("tags")).alias("k")).distinct().where(F.col("k").isin(*critical))

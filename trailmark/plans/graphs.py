@@ -101,6 +101,13 @@ class Graph:
     def largest(self) -> Graph:
         return self.part(max(self.components(), key=len, default=set()))
 
+    def with_work(self, open_, start=None) -> Graph:
+        """The piece to plan on: the start's, if it has open edges, else the one with the most metres of them."""
+        pieces = [self.part(x) for x in self.components()]
+        left = lambda g: sum(e.length(missing=0.0) for e in g.edges if open_(e))
+        about = next((g for g in pieces if start is not None and start in g.nodes), None)
+        return about if about is not None and left(about) > 0 else max(pieces, key=left, default=Graph())
+
     def xy(self, n) -> tuple[float, float] | None:
         d = self.nodes.get(n, {})
         return (float(d["x"]), float(d["y"])) if d.get("x") is not None and d.get("y") is not None else None

@@ -13,7 +13,8 @@ MONTHS = "Jan Feb Mar Apr May Jun Jul Aug Sep Oct Nov Dec".split()
 def tracks(spark: SparkSession, path: str) -> DataFrame:
     """(walk_id, name, trkseg, trkpt): a row a track; walk_id is the file's name."""
     rows = spark.read.format("xml").option("rowTag", "trk").option("ignoreNamespace", "true").option("mode", "PERMISSIVE").schema(SCHEMA).load(path)
-    return rows.withColumn("walk_id", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1))
+    # the name comes percent-encoded
+    return rows.withColumn("walk_id", F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B"))))
 
 
 def read_fixes(spark: SparkSession, path: str) -> DataFrame:

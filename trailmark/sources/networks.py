@@ -216,13 +216,13 @@ def fetch_elevations(nodes: DataFrame, known: DataFrame, fetch: Callable[[list[t
 
 
 def read_official(spark: SparkSession, path: str, layers: list[str] | None = None) -> DataFrame:
-    """(name, m) of an official centerline list: active rows of the layers, without tunnels, ramps, freeways and unnamed ones."""
+    """(name, m) of an official centerline list: active rows of the layers, without tunnels (by type), on and off ramps, freeways and unnamed ones."""
     rows = spark.read.option("header", "true").option("multiLine", "true").option("escape", '"').csv(path)
     name = official_name(F.concat_ws(" ", "street", F.coalesce(street_type(F.col("st_type")), F.lower("st_type"))))
-    rows = rows.where(F.lower("active").isin("true", "t", "1", "yes")).withColumn("name", F.trim(name))
+    rows = rows.where(F.lower(F.trim("active")) == "true").withColumn("name", F.trim(name))
     if layers:
-        rows = rows.where(F.col("layer").isin(*layers))
-    rows = rows.where(~F.col("name").rlike(r"tunnel|^unnamed \d+|^i-?\d+|ramp"))
+        rows = rows.where(F.upper(F.trim("layer")).isin(*[x.strip().upper() for x in layers]))
+    rows = rows.where((F.col("name") != "") & ~F.coalesce(F.upper(F.trim("st_type")) == "TUNL", F.lit(False)) & ~F.col("name").rlike(r"^unnamed \d+$|^i-\d+\b| (on|off) ramp$"))
     pairs = F.transform(F.regexp_extract_all("line", F.lit(r"(-?[0-9.]+ -?[0-9.]+)"), F.lit(1)), lambda p: F.struct(F.split(p, " ")[0].cast("double").alias("lon"), F.split(p, " ")[1].cast("double").alias("lat")))
     legs = F.zip_with(F.slice("_p", 1, F.greatest(F.size("_p") - 1, F.lit(0))), F.slice("_p", 2, F.greatest(F.size("_p") - 1, F.lit(0))), _leg)
     return rows.withColumn("_p", pairs).withColumn("m", F.aggregate(legs, F.lit(0.0), lambda a, x: a + x)).groupBy("name").agg(F.sum("m").alias("m"))
