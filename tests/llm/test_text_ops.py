@@ -7,12 +7,14 @@ import zlib
 from collections import Counter as Tally
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from trailmark.llm import html_text, language_model, near_duplicates, quality_rules, range_coder, shingles, token_counts, token_files, url_filters
+from trailmark.llm import word_ids as word_ids_module
 from trailmark.llm.elias_fano import Sequence, pack
-from trailmark.llm.word_ids import vocabulary, word_ids
+from trailmark.llm.word_ids import WordIds, vocabulary, word_ids
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = [f"w{i}" for i in range(60)]
@@ -93,6 +95,22 @@ def test_word_ids_are_the_librarys():
     assert words.ids(texts) == [words._whole(t or "") for t in texts]
 
 
+def test_word_ids_of_a_column_are_made_once_for_each_distinct_piece(monkeypatch):
+    words = WordIds(vocabulary("word_bpe_49k.json"))
+    r = random.Random(6)
+    parts = ["Ab", "é", "Ǆx", "ŉ", "ª", "st", "...", "?", "#&", "'s", "\x00", "\x85", "　", " ", "  ", "<|", "7", "×", "漢"]
+    texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 30))) for _ in range(300)] + [None, "", " "]
+    column = pa.array([None, "before", *texts, "after"], pa.string()).slice(2, len(texts))
+    monkeypatch.setattr(word_ids_module, "CHUNK", 500)
+    assert words.ids(column) == words.ids(texts) == [words._whole(t or "") for t in texts]
+    assert [at for at, _ in words.chunks(column)][1:] and words.ids(pa.array([], pa.string())) == []
+    # words that differ in case or in the punctuation behind them share their letters' ids
+    words.words.clear()
+    words.parts.clear()
+    words.ids([f"{w}{e} {w.upper()}{e}" for w in ("alpha", "beta", "gamma") for e in ("", ".", "!!", "###")])
+    assert len(words.parts) == 6 and not words.words
+
+
 def test_range_coder_round_trips_and_finds_damage():
     r = np.random.default_rng(5)
     for n, top in ((0, 5), (1, 5), (127, 2), (129, 49408), (5000, 300)):

@@ -41,11 +41,13 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END)
         encoder = word_ids(path)
         for b in batches:
             rows: list[tuple[int | None, int, int, int, int]] = []
-            for doc, raw in zip(b.column(0).to_pylist(), encoder.ids(b.column(1).to_pylist()), strict=True):
-                raw += tail
-                for k, at in enumerate(range(0, len(raw), 4 * capacity)):
-                    part = raw[at : at + 4 * capacity]
-                    rows.append((doc, k, k * capacity, len(part) // 4, crc32(part)))
+            docs_of = b.column(0).to_pylist()
+            for first, raws in encoder.chunks(b.column(1)):
+                for doc, raw in zip(docs_of[first : first + len(raws)], raws, strict=True):
+                    raw += tail
+                    for k, at in enumerate(range(0, len(raw), 4 * capacity)):
+                        part = raw[at : at + 4 * capacity]
+                        rows.append((doc, k, k * capacity, len(part) // 4, crc32(part)))
             cols = list(zip(*rows, strict=True)) or [()] * 5
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])

@@ -74,7 +74,8 @@ class Model:
         np.cumsum(f, out=self.sums[1:])
         self.sums[-1] = SCALE  # the last id gets what rounding leaves
         if self.reads:
-            self.owner = np.repeat(np.arange(self.alphabet, dtype=np.int32), np.diff(self.sums))  # of each step of SCALE
+            kind = np.uint16 if self.alphabet <= 1 << 16 else np.int32
+            self.owner = np.repeat(np.arange(self.alphabet, dtype=kind), np.diff(self.sums))  # of each step of SCALE
 
     def mix(self, n: int) -> tuple[np.ndarray, ...]:
         """Predictions (order 1, order 2) and weights (0, 1, 2) of the first n lanes."""
@@ -91,9 +92,10 @@ class Model:
     def learn(self, ids: np.ndarray, hit1: np.ndarray, hit2: np.ndarray) -> None:
         n = len(ids)
         b1, size = self.before1[:n], len(self.tries)
-        self.tries += np.bincount(self.state, minlength=size)
-        self.right1 += np.bincount(self.state + size * hit1, minlength=2 * size)[size:]
-        self.right2 += np.bincount(self.state + size * hit2, minlength=2 * size)[size:]
+        neither, only1, only2, both = np.bincount(self.state + size * (hit1 + 2 * hit2), minlength=4 * size).reshape(4, size)
+        self.tries += neither + only1 + only2 + both
+        self.right1 += only1 + both
+        self.right2 += only2 + both
         for nxt, key, was, hit in ((self.next1, b1, self.was1, hit1), (self.next2, self.slot, self.was2, hit2)):
             sure = was & SURE
             held = was + at(SURER, sure + (SURE + 1) * hit)
@@ -156,7 +158,7 @@ def encode(ids: np.ndarray, alphabet: int) -> bytes:
         out_word += [(low >> W32).astype(np.uint32), (low & LOW32).astype(np.uint32)]
     lane = np.concatenate(out_lane) if out_lane else np.zeros(0, np.int64)
     word = np.concatenate(out_word) if out_word else np.zeros(0, np.uint32)
-    word = word[np.argsort(lane, kind="stable")]
+    word = word[np.argsort(lane.astype(np.uint16), kind="stable")]  # below LANES; 16 bits are sorted by radix
     body = np.bincount(lane, minlength=lanes).astype("<u4").tobytes() + word.astype("<u4").tobytes()
     return HEADER.pack(MAGIC, VERSION, alphabet, n, lanes, zlib.crc32(ids.tobytes()), zlib.crc32(body)) + body
 
@@ -202,7 +204,7 @@ def decode(block: bytes) -> np.ndarray:
         if len(free):  # an id that isn't predicted: by its share alone, or one whose prediction has no weight
             u, w = at(v, free), at(w0, free)
             above = at(mine1, free) * (u >= at(end1, free)) + at(mine2, free) * (u >= at(end2, free))
-            y = at(model.owner, ((u - above) / w).astype(np.int64))  # both below 2^26: the quotient is exact
+            y = at(model.owner, ((u - above) / w).astype(np.int64)).astype(np.int64)  # both below 2^26: the quotient is exact
             begin = at(model.sums, y)
             x[free], cum[free], freq[free] = y, w * begin + above, w * (at(model.sums, y + 1) - begin)
         hit1, hit2 = c1 == x, c2 == x

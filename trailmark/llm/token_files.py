@@ -46,12 +46,11 @@ def encoded(docs: DataFrame, path: str, end: int, shards: int) -> DataFrame:
         encoder = word_ids(path)
         small = encoder.size <= 1 << 16
         for b in batches:
-            for at in range(0, b.num_rows, 1000):
-                part = b.slice(at, 1000)
-                raws = [x + tail for x in encoder.ids(part.column(1).to_pylist())]
+            for at, raws in encoder.chunks(b.column(1)):
+                raws = [x + tail for x in raws]
                 if small:
                     raws = [np.frombuffer(x, "<u4").astype("<u2").tobytes() for x in raws]
-                ids = part.column(0)
+                ids = b.column(0).slice(at, len(raws))
                 tie = np.fromiter(map(crc32, raws), np.int64, len(raws))
                 # an id that several bounds name holds that many shards' worth of rows: its rows are dealt out by tie
                 key = ids.fill_null(LEAST).cast(pa.float64(), safe=False).to_numpy(zero_copy_only=False)
