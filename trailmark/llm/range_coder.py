@@ -23,12 +23,12 @@ import zlib
 
 import numpy as np
 
-MAGIC, VERSION = b"TMRC", 1
+MAGIC, VERSION = b"TMRC", 2
 HEADER = struct.Struct("<4sHIQIII")
 SCALE_BITS, WEIGHT_BITS = 20, 6
 SCALE, WEIGHTS = 1 << SCALE_BITS, 1 << WEIGHT_BITS
 TOTAL_BITS = SCALE_BITS + WEIGHT_BITS
-LANES, LEAST_STEPS = 4096, 128
+LANES, LEAST_STEPS = 8192, 128
 SURE_BITS, SLOTS = 3, 1 << 18
 SURE = (1 << SURE_BITS) - 1
 #: How the confidence changes after a wrong prediction, then after a right one, by the confidence before.
@@ -99,7 +99,8 @@ class Model:
         for nxt, key, was, hit in ((self.next1, b1, self.was1, hit1), (self.next2, self.slot, self.was2, hit2)):
             sure = was & SURE
             held = was + at(SURER, sure + (SURE + 1) * hit)
-            nxt[key] = held + ((ids << SURE_BITS) - held) * (~hit & (sure == 0))  # of lanes with one context the last counts
+            now = np.where(~hit & (sure == 0), ids << SURE_BITS, held)
+            nxt[key] = now.astype(np.int32)  # of lanes with one context the last counts
         np.add.at(self.counts, ids, np.int32(1))
         self.seen += n
         self.before2[:n] = b1
