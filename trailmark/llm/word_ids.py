@@ -32,7 +32,7 @@ LATIN = regex.compile("[\x21-\x7e\xa1-\u012f\u0131-\u024f]+")  # without U+0130,
 LETTERS, SIGNS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u024f", r"!-/:-@\[-`{-~"
 PLAIN, CROSSING = f"^[{LETTERS}]+[{SIGNS}]*$", "<\\||[\x1c-\x1f]"
 PACKERS = [struct.Struct(f"<{n}I").pack for n in range(32)]
-WORDS, PARTS, CHUNK = 600_000, 1_200_000, 1 << 24
+WORDS, PARTS, CHUNK = 600_000, 1_200_000, 1 << 23
 
 
 def byte_letters() -> dict[int, int]:
