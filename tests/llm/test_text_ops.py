@@ -3,8 +3,10 @@
 import itertools
 import math
 import random
+import time
 import zlib
 from collections import Counter as Tally
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -471,3 +473,25 @@ def test_verification_holds_a_bounded_number_of_characters():
     get = near_duplicates.remembered(lambda x: made.append(x) or len(x), 10)
     assert [get(x) for x in ("aaaa", "bbbb", "aaaa", "c" * 50, "aaaa", "")] == [4, 4, 4, 50, 4, 0]
     assert made == ["aaaa", "bbbb", "c" * 50, "aaaa", ""]
+
+
+@pytest.mark.parametrize("most", [0, 2_000_000])
+def test_near_duplicates_leave_little_on_disk(spark, monkeypatch, most):
+    """Tables that nothing reads again, and shuffle files, go during the stage; by either join, broadcast or not, the same rows stay."""
+    monkeypatch.setattr(near_duplicates, "BROADCAST", most)
+    shared = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    tables = lambda: set(shared.glob("trailmark-*/*"))
+    blocks = lambda: {x for x in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks().mkString(" ").split() if x.startswith("shuffle")}
+    near = text(41).split()
+    near[60] = "changed"
+    df = spark.createDataFrame([(1, text(41)), (2, text(41)), (3, " ".join(near)), (4, text(42)), (5, None), (None, text(42))], "doc_id long, text string").repartition(3)
+    had, held = tables(), blocks()
+    kept = near_duplicates.kept(df)
+    assert {p.name for p in tables() - had} & {"features", "classes", "postings", "hubs", "nodes", "texts", "tagged", "pairs", "found"} == set()
+    for _ in range(100):  # they go in the background
+        if not (left := blocks() - held):
+            break
+        time.sleep(0.1)
+    assert not left
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 4, 5]
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"

@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import shingles as S
-from .common import table, written
+from .common import removed, shuffles_removed, table, written
 from .components import components
 
 K, PERCENT, ORDERS = 4, 85, 3
@@ -161,7 +161,7 @@ def remembered(make: Callable[[str], T], most: int) -> Callable[[str], T]:
 
 
 def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int, common: Broadcast) -> DataFrame:
-    """The pairs (a, b) that pass the other orders' filters and link. Rows stream; no group is held."""
+    """The pairs (a, b) that pass the other orders' filters and link, written. Rows stream; no group is held."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def prefixes(text: str) -> list[np.ndarray]:
@@ -190,7 +190,10 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int, common: Br
     b = texts.select(F.col("row").alias("b"), F.col("text").alias("_tb"))
     a = texts.select(F.col("row").alias("a"), F.col("text").alias("_ta"))
     rows = pairs.join(b, "b").join(a, "a").select("a", "b", "_ta", "_tb")
-    return rows.mapInArrow(run, "a long, b long").distinct()
+    found = written(rows.mapInArrow(run, "a long, b long").distinct(), "links")
+    removed(nodes)
+    removed(texts)
+    return found
 
 
 def grouped(docs: DataFrame, k: int, percent: int, by_id: bool) -> DataFrame:
@@ -206,6 +209,7 @@ def grouped(docs: DataFrame, k: int, percent: int, by_id: bool) -> DataFrame:
 
     # one row stands for equal sets
     placed = written(known.select("row", "doc_id", *SET).join(classes, SET).select("row", "doc_id", "node"), "placed")
+    removed(classes)
     others = placed.where("row <> node").select("row")
     others = F.broadcast(others) if others.count() <= BROADCAST else others
     alone = known.join(others, "row", "left_anti")
@@ -213,32 +217,38 @@ def grouped(docs: DataFrame, k: int, percent: int, by_id: bool) -> DataFrame:
     nodes = rows.repartition("token").select("token", "node", F.shiftright("_m", 32).alias("n"), (F.shiftright("_m", 32) - F.col("_m") % 2**32).alias("rest"))
     many, hub = F.count("*").over(Window.partitionBy("token")), F.min(F.struct(F.col("n") - F.col("rest"), "node")).over(Window.partitionBy("token"))["node"]
     posting = written(nodes.withColumns({"many": many, "hub": hub}).where("many > 1").drop("many"), "postings")
+    counted = written(feats.select("row", "doc_id", "n_shingles"), "counted")
+    removed(feats)
     # the overlap needed is PERCENT / (100 + PERCENT) of both sizes, and what is left from the token on must reach it
     enough = F.least("ra", "rb") * (100 + percent) >= (F.col("na") + F.col("nb")) * percent
 
     tops = posting.where("node = hub").select("token", F.col("n").alias("nb"), F.col("rest").alias("rb"))
     spokes = posting.where("node <> hub").select("token", F.col("node").alias("a"), F.col("hub").alias("b"), F.col("n").alias("na"), F.col("rest").alias("ra"))
     hubs = written(spokes.join(tops, "token").where(enough).select("a", "b").distinct(), "hubs")
-    first = written(verified(hubs, docs, k, percent, common), "links1")
+    first = verified(hubs, docs, k, percent, common)
+    removed(hubs)
     parts = written(components(first), "parts")
 
     tagged = posting.join(parts, "node", "left").select("token", "node", "n", "rest", F.coalesce("component", "node").alias("component"))
     two = F.min("component").over(Window.partitionBy("token")) != F.max("component").over(Window.partitionBy("token"))
     tagged = written(tagged.select("*", two.alias("two")).where("two").drop("two"), "tagged")
+    removed(posting)
     # a linked set's size is at most 100 / PERCENT times the smaller one's: it lies in the same or the next class of sizes
     size = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent + 1e-6)).cast("int")
     left = tagged.select("token", F.explode(F.array(size, size + 1)).alias("size"), F.col("node").alias("a"), F.col("n").alias("na"), F.col("rest").alias("ra"), F.col("component").alias("ca"))
     right = tagged.select("token", size.alias("size"), F.col("node").alias("b"), F.col("n").alias("nb"), F.col("rest").alias("rb"), F.col("component").alias("cb"))
     smaller = (F.col("na") < F.col("nb")) | (F.col("na") == F.col("nb")) & (F.col("a") < F.col("b"))
-    pairs = left.join(right, ["token", "size"]).where(smaller & (F.col("ca") != F.col("cb")) & enough).select("a", "b").distinct()
-    second = written(verified(written(pairs, "pairs"), docs, k, percent, common), "links2")
+    pairs = written(left.join(right, ["token", "size"]).where(smaller & (F.col("ca") != F.col("cb")) & enough).select("a", "b").distinct(), "pairs")
+    removed(tagged)
+    second = verified(pairs, docs, k, percent, common)
+    removed(pairs)
 
     links = first.unionByName(second)
     if by_id:
         least = placed.groupBy("doc_id").agg(F.min("node").alias("b"), F.max("node").alias("_m")).where("b <> _m").drop("_m")
         links = links.unionByName(placed.join(least, "doc_id").select(F.col("node").alias("a"), "b").where("a <> b").distinct())
     named = placed.join(components(links), "node", "left").select("row", F.coalesce("component", "node").alias("component"))
-    return feats.select("row", "doc_id", "n_shingles").join(named, "row", "left").select("row", "doc_id", "n_shingles", F.coalesce("component", "row").alias("component"))
+    return counted.join(named, "row", "left").select("row", "doc_id", "n_shingles", F.coalesce("component", "row").alias("component"))
 
 
 def numbered(docs: DataFrame) -> DataFrame:
@@ -248,8 +258,9 @@ def numbered(docs: DataFrame) -> DataFrame:
 
 def join(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) of docs (doc_id, text), a row for each row."""
-    rows = numbered(docs.select("doc_id", "text"))
-    found = written(grouped(rows.where(F.col("doc_id").isNotNull()), k, percent, True), "found")
+    with shuffles_removed(docs.sparkSession):
+        rows = numbered(docs.select("doc_id", "text"))
+        found = written(grouped(rows.where(F.col("doc_id").isNotNull()), k, percent, True), "found")
     # most components are of one row, named by itself
     least = found.where("n_shingles > 0").groupBy("component").agg(F.min("doc_id").alias("least"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
     linked = found.join(least, "component", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("least", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
@@ -262,11 +273,16 @@ def kept(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 
     Rows that repeat an id, or have none, are documents of their own. Rows without words all stay.
     """
-    rows = numbered(docs)
-    found = grouped(rows, k, percent, False)
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
-    chosen = found.groupBy("component").agg(F.min(order).alias("_o")).select(F.col("_o.row").alias("row"))
-    return rows.join(chosen, "row", "left_semi").select(*docs.columns)
+    with shuffles_removed(docs.sparkSession):
+        rows = numbered(docs)
+        found = written(grouped(rows, k, percent, False), "found")
+        chosen = found.groupBy("component").agg(F.min(order).alias("_o"), F.count("*").alias("_n")).where("_n > 1").select("component", F.col("_o.row").alias("_c"))
+        # those that go are fewer than those that stay, so rows are seldom shuffled for them
+        gone = written(found.join(chosen, "component").where("row <> _c").select("row"), "gone")
+        removed(found)
+        few = gone.count() <= BROADCAST
+    return rows.join(F.broadcast(gone) if few else gone, "row", "left_anti").select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
