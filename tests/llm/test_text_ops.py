@@ -495,3 +495,11 @@ def test_near_duplicates_leave_little_on_disk(spark, monkeypatch, most):
     assert not left
     assert sorted(r.doc_id for r in kept.collect()) == [1, 4, 5]
     assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
+def test_word_ids_by_smaller_chunks_are_the_same():
+    words = word_ids(vocabulary("word_bpe_49k.json"))
+    texts = pa.array([text(51), None, "", "x" * 5000, text(52), "na\u00efve  two", text(53, 9)])
+    found = list(words.chunks(texts, 700))
+    assert [at for at, _ in found] == [0, 3, 4]
+    assert [x for _, part in found for x in part] == words.ids(texts)

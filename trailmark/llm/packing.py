@@ -30,6 +30,8 @@ from .word_ids import crc32, vocabulary, word_ids
 
 CAPACITY, END, FAN, NEARLY_FULL, ITEMS = 2048, 0, 8, 0.99, 20_000
 VOCABULARY = "word_bpe_49k.json"
+#: Bytes of text whose words a task tells apart at once; fewer than op4's, as pipeline runs this in workers that other stages have filled.
+CHUNK = 1 << 21
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -42,7 +44,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END)
         for b in batches:
             rows: list[tuple[int | None, int, int, int, int]] = []
             docs_of = b.column(0).to_pylist()
-            for first, raws in encoder.chunks(b.column(1)):
+            for first, raws in encoder.chunks(b.column(1), CHUNK):
                 for doc, raw in zip(docs_of[first : first + len(raws)], raws, strict=True):
                     raw += tail
                     for k, at in enumerate(range(0, len(raw), 4 * capacity)):

@@ -135,12 +135,12 @@ class WordIds:
             self.parts.clear()
         return out
 
-    def chunks(self, texts: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
-        """(place of the first, ids) of as many texts at a time as hold CHUNK bytes, or of one that holds more."""
+    def chunks(self, texts: pa.Array, most: int | None = None) -> Iterator[tuple[int, list[bytes]]]:
+        """(place of the first, ids) of as many texts at a time as hold `most` bytes (else CHUNK), or of one that holds more."""
         upto = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(), dtype=np.int64)
         at = 0
         while at < len(texts):
-            end = int(np.searchsorted(upto, (upto[at - 1] if at else 0) + CHUNK, side="right"))
+            end = int(np.searchsorted(upto, (upto[at - 1] if at else 0) + (most or CHUNK), side="right"))
             found = self._chunk(texts.slice(at, max(end - at, 1)))
             yield at, found
             at += len(found)
